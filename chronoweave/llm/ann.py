@@ -135,7 +135,7 @@ def _best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: i
     return out
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 5, parts: int = 16, probes: int = 6, fit_rows: int = 8192, block: int = 8192, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 5, parts: int = 16, probes: int = 12, fit_rows: int = 8192, block: int = 8192, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that `is_query` holds for.
 
     Rows without an id, and vectors that are null, zero, of another length than most of the sample or hold null or
