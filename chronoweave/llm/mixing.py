@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ordered_totals, row_key
+from .common import ordered_totals, row_key, shuffle_partitions
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 ROUNDS = 24
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, block: int = 64, out_shards: int = 64, seed: int = 17,
     slots = (
         need.where("slots > 0")
         .withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(runs).cast("long"))))
-        .repartition("_g", "first")
+        .repartition(shuffle_partitions(docs.sparkSession), "_g", "first")
         .withColumn("j", F.explode(F.sequence("first", F.least(F.col("first") + runs, F.col("slots")) - 1)))
         .select(
             "_g",
@@ -99,7 +99,8 @@ def mix(docs: DataFrame, block: int = 64, out_shards: int = 64, seed: int = 17,
         .select("_g", "source", "_row", "_before", "size", F.explode(F.sequence(F.floor(F.col("_before") / block).cast("long"), F.floor((F.col("_before") + F.col("size") - 1) / block).cast("long"))).alias("block"))
         .select("_g", "source", "_row", "block", F.greatest(F.lit(0), F.col("block") * block - F.col("_before")).alias("from_word"), F.least("size", (F.col("block") + 1) * block - F.col("_before")).alias("to_word"))
     )
-    pieces = slots.join(cut, ["_g", "block"]).select("out_shard", "out_slot", "_g", "source", "block", "_row", "from_word", "to_word")
+    pieces = slots.hint("merge").join(cut, ["_g", "block"])  # its few rows become many: not for a broadcast
+    pieces = pieces.select("out_shard", "out_slot", "_g", "source", "block", "_row", "from_word", "to_word")
     return documents, pieces, targets
 
 
