@@ -7,8 +7,10 @@ sees the points at levels up to its weight; a component is the earliest point se
 component with a probability of exactly their weighted Jaccard similarity.
 
 Documents with the same words are one node. Bands of the signature make buckets; in each bucket all nodes are
-compared with a leader, then with a second leader outside the first one's class; whatever pairs of different classes
-are left in a bucket after that are compared too, so no bucket is capped. Every pair is verified on the multisets.
+compared with a leader; in buckets that then hold several classes, with a second leader of another class; whatever
+pairs of different classes are left in a bucket are compared too, so no bucket is capped. A pair whose signatures
+differ too much for the threshold (one bit of each component, six deviations) is not looked up; every other pair is
+verified on the multisets.
 """
 
 from __future__ import annotations
@@ -87,20 +89,22 @@ def shingle_multisets(texts: pa.Array, width: int) -> tuple[list, np.ndarray, np
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, row_key, node, weight, bands, shingles, counts, row) for each row; node and what follows are null without words.
+    """(doc_id, row_key, node, weight, bands, shingles, counts, low, high, row) for each row; node and what follows are null without words.
 
-    node: 16 bytes that tell word sequences apart; shingles: 32-bit hashes for verification, in ascending order."""
+    low, high: one bit of each of the first 128 components. node: 16 bytes that tell word sequences apart; shingles: 32-bit hashes for verification, in ascending order."""
     m = bands * rows
 
     def run(batches):
         for batch in in_slices(batches, "t", 4 << 20):
             sets, one, two = shingle_multisets(batch.column("t"), width)
             full = [i for i, x in enumerate(sets) if x is not None]
-            nodes, weight, bandings, shingles, counts = ([None] * len(sets) for _ in range(5))
+            nodes, weight, bandings, shingles, counts, low, high = ([None] * len(sets) for _ in range(7))
             if full:
                 elements, weights = (np.concatenate([sets[i][j] for i in full]) for j in (0, 1))
                 owner = np.repeat(np.arange(len(full)), [len(sets[i][0]) for i in full])
                 sig = signatures(elements, weights, owner, len(full), m).view(np.uint64).reshape(len(full), bands, rows)
+                bits = np.packbits((mix64(sig.reshape(len(full), m)) & np.uint64(1)).astype(bool), axis=1)
+                bits = np.pad(bits, ((0, 0), (0, max(0, 16 - bits.shape[1]))))[:, :16].copy().view(np.int64)
                 with np.errstate(over="ignore"):
                     band = np.full((len(full), bands), GOLDEN) * (np.arange(bands, dtype=np.uint64) + np.uint64(1))
                     for j in range(rows):
@@ -109,18 +113,27 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, ro
                 nodes[i] = one[i].tobytes() + two[i].tobytes()
                 weight[i] = int(sets[i][1].sum())
                 bandings[i] = band[k].view(np.int64)
+                low[i], high[i] = int(bits[k, 0]), int(bits[k, 1])
                 h, at = np.unique(sets[i][0] >> np.uint64(32), return_inverse=True)
                 shingles[i], counts[i] = h.astype(np.uint32).tobytes(), np.bincount(at, sets[i][1]).astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.binary()), pa.array(weight, pa.int64()), pa.array(bandings, pa.list_(pa.int64())), pa.array(shingles, pa.binary()), pa.array(counts, pa.binary())],
-                ["doc_id", "row_key", "node", "weight", "bands", "shingles", "counts"],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.binary()), pa.array(weight, pa.int64()), pa.array(bandings, pa.list_(pa.int64())), pa.array(shingles, pa.binary()), pa.array(counts, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
+                ["doc_id", "row_key", "node", "weight", "bands", "shingles", "counts", "low", "high"],
             )
 
     d = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("t"))
-    out = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, row_key string, node binary, weight long, bands array<long>, shingles binary, counts binary")
+    out = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, row_key string, node binary, weight long, bands array<long>, shingles binary, counts binary, low long, high long")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
+def agreeing_bits(components_: int, threshold: float) -> int:
+    """How many of 128 bits two documents at the threshold share at least: six deviations under what is expected (one
+    pair in 10**9 shares fewer). Components that are missing share their bits."""
+    n = min(128, components_)
+    p = threshold + (1 - threshold) / 2
+    return int(np.floor(128 - n + n * p - 6 * np.sqrt(n * p * (1 - p))))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap by the threshold at least, with their similarity."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
@@ -144,16 +157,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Smallest labels spread along links and are shortened by jumping to the label's own label; each round is a checkpoint."""
     both = stable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
-    labels = stable(labels)
+    labels = stable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        jump = spread.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = stable(spread.join(jump, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "old"))
-        changed = new.where("root != old").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
+        far = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = labels.join(near, "node").join(far, "root").select("node", F.least("root", "near", "far").alias("new"), (F.least("near", "far") < F.col("root")).alias("moved"))
+        new = stable(new)
+        moved = new.where("moved").limit(1).count()
+        labels = new.select("node", F.col("new").alias("root"))
+        if not moved:
             return labels
 
 
@@ -169,46 +181,42 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     nodes = stable(s.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("_n")))
     # of the rows of a node, which have the same sketch, one
     reps = s.join(nodes.select("node", F.col("head.row").alias("row")), ["node", "row"], "left_semi")
-    entries = reps.select("node", "weight", F.explode("bands").alias("bucket"))
+    entries = reps.select("node", "weight", "low", "high", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("bucket", "lead")
     buckets = stored(entries.join(shared, "bucket"), "buckets")
     sets = reps.select("node", "shingles", "counts")
+    least = agreeing_bits(bands * rows, threshold)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs of structs a, b that may reach the threshold, by total weight and by one bit of each component."""
+        near = F.least("a.weight", "b.weight") >= F.lit(threshold) * F.greatest("a.weight", "b.weight")
+        same = 128 - F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) - F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
+        return pairs.where(near & (same >= least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
-    weights = F.least("wa", "wb") >= F.lit(threshold) * F.greatest("wa", "wb")
-    lead_weight = buckets.where("node = lead").select("bucket", F.col("weight").alias("wa"))
-    first = buckets.where("node != lead").withColumnRenamed("weight", "wb").join(lead_weight, "bucket").where(weights).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    one = lambda: F.struct("node", "weight", "low", "high")
+    leads = buckets.where("node = lead").select("bucket", one().alias("a"))
+    first = close(buckets.where("node != lead").select("bucket", one().alias("b")).join(leads, "bucket"))
     links = stored(verified(first, sets, threshold), "links")
     roots = components(links)
 
-    def classed(roots: DataFrame) -> DataFrame:
-        return buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    # second leaders: of the nodes outside the leader's class, in buckets that hold more than one class
-    c = classed(roots)
-    lead_root = c.where("node = lead").select("bucket", F.col("root").alias("lead_root"))
-    mixed = c.join(lead_root, "bucket").join(c.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket"), "bucket", "left_semi")
-    seconds = mixed.where("root != lead_root").groupBy("bucket").agg(F.min(F.struct("node", "weight", "root")).alias("s"))
-    more = (
-        mixed.join(seconds, "bucket")
-        .where("node != s.node and node != lead and root != s.root")
-        .select(F.col("s.node").alias("a"), F.col("node").alias("b"), F.col("s.weight").alias("wa"), F.col("weight").alias("wb"))
-        .where(weights)
-        .select("a", "b")
-        .distinct()
-    )
+    # what is left of buckets that hold several classes; the second leader is of another class than the first
+    c = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    x = F.struct("root", *(F.col(n) for n in ("node", "weight", "low", "high")))
+    several = c.groupBy("bucket").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.max(F.when(F.col("node") == F.col("lead"), F.col("root"))).alias("lead_root")).where("least.root != most.root")
+    second = F.when(F.col("least.root") != F.col("lead_root"), F.col("least")).otherwise(F.col("most"))
+    mixed = stored(c.join(several.select("bucket", second.alias("second")), "bucket"), "mixed")
+    more = close(mixed.where("node != second.node and node != lead and root != second.root").select(F.col("second").alias("a"), one().alias("b")))
     again = stored(verified(more, sets, threshold), "links")
-    if again.limit(1).count():
-        links = stored(links.union(again).distinct(), "links")
-        roots = components(links)
-
-    # the rest: pairs of different classes that no leader has covered
-    c = classed(roots).join(seconds.select("bucket", F.col("s.node").alias("second")), "bucket")
-    x = c.select("bucket", "lead", "second", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra"))
-    y = c.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"))
-    rest = x.join(y, "bucket").where("a < b and ra != rb and a != lead and b != lead and a != second and b != second").where(weights).select("a", "b").distinct()
-    last = stored(verified(rest, sets, threshold), "links")
-    if last.limit(1).count():
-        links = stored(links.union(last).distinct(), "links")
+    # pairs of different classes in a bucket that no leader has covered
+    rest = mixed.where("node != second.node and node != lead").select("bucket", "root", one().alias("p"))
+    y = rest.select("bucket", F.col("root").alias("root_b"), F.col("p").alias("b"))
+    near = F.expr("least(p.weight, b.weight) >= " + repr(float(threshold)) + " * greatest(p.weight, b.weight)")
+    alike = F.expr(f"128 - bit_count(p.low ^ b.low) - bit_count(p.high ^ b.high) >= {least}")
+    crossed = rest.join(y, (rest["bucket"] == y["bucket"]) & F.expr("p.node < b.node and root != root_b") & near & alike)
+    last = stored(verified(close(crossed.select(F.col("p").alias("a"), "b")), sets, threshold), "links")
+    more_links = again.unionByName(last)
+    if more_links.limit(1).count():
+        links = stored(links.unionByName(more_links).distinct(), "links")
         roots = components(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
