@@ -103,14 +103,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             yield pa.RecordBatch.from_arrays([batch.column("l"), pa.array([f.astype(np.uint16).tobytes() for f, _ in out], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in out], pa.binary())], ["l", "f", "n"])
 
     sample = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("t", "l").mapInArrow(features, "l string, f binary, n binary").collect()
-    x, sizes, owners = np.zeros((len(sample), DIMS)), np.zeros(len(sample)), np.array([langs.index(r[0]) for r in sample], dtype=int)
+    x, sizes, owners = np.zeros((len(sample), DIMS), np.float32), np.zeros(len(sample)), np.array([langs.index(r[0]) for r in sample], dtype=int)
     for i, (_, f, n) in enumerate(sample):
         n = np.frombuffer(n, np.uint32)
         x[i, np.frombuffer(f, np.uint16)] = np.log1p(n)
         sizes[i] = n.sum()
-    order = np.lexsort((x @ np.arange(DIMS), sizes, owners))  # the same order in every run
-    x, sizes, owners = x[order] * idf, sizes[order], owners[order]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    order = np.lexsort((x @ np.arange(DIMS, dtype=np.float32), sizes, owners))  # the same order in every run
+    x, sizes, owners = x[order], sizes[order], owners[order]
+    del sample
     groups = [(j, _kmeans(x[owners == j], centroids)) for j in range(len(langs)) if (owners == j).any()]
     model["owner"] = np.concatenate([np.full(len(c), j) for j, c in groups]) if groups else np.zeros(0, int)
     model["centroids"] = np.concatenate([c for _, c in groups]) if groups else np.zeros((0, DIMS))
