@@ -51,7 +51,7 @@ def extend(level: DataFrame, pairs: DataFrame, size: int, least: float, kinds: i
 def mine(pairs: DataFrame, least: float, max_size: int, kinds: int = 7) -> list[DataFrame]:
     """Instances of the frequent patterns of 2, 3, ... symbols; each level is written to the checkpoint folder."""
     folder = pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
-    keep = DataFrame.persist if folder.isEmpty() else DataFrame.checkpoint
+    keep = (lambda x: x.persist()) if folder.isEmpty() else (lambda x: x.checkpoint())
     pairs = keep(pairs)
     levels = [keep(first_level(pairs, least))]
     while len(levels) + 1 < max_size and levels[-1].limit(1).count():

@@ -56,8 +56,8 @@ def read_ts(spark: SparkSession, path: str) -> DataFrame:
 
 def cutoffs_from_json(spark: SparkSession, text: str) -> DataFrame:
     """(variable, low, high) from {"cutoffs": {"1": [low, high], ...}}."""
-    parsed = spark.range(1).select(F.from_json(F.lit(text), "cutoffs map<int,array<double>>").alias("j"))
-    return parsed.select(F.explode("j.cutoffs").alias("variable", "c")).select("variable", F.get("c", F.lit(0)).alias("low"), F.get("c", F.lit(1)).alias("high"))
+    parsed = spark.range(1).select(F.from_json(F.lit(text), "cutoffs map<string,array<double>>").alias("j"))
+    return parsed.select(F.explode("j.cutoffs").alias("variable", "c")).select(F.col("variable").cast("int").alias("variable"), F.get("c", F.lit(0)).alias("low"), F.get("c", F.lit(1)).alias("high"))
 
 
 def interval_lines(sti: DataFrame) -> DataFrame:
