@@ -19,14 +19,17 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _chunks(hashes: np.ndarray, window: int, divisor: int) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk of one text."""
+    """(first line, number of lines) of each chunk of one text: two lines or more, but for the last."""
     with np.errstate(over="ignore"):
         rolled = hashes.copy()
         for j in range(1, window):
             rolled[j:] += hashes[: len(hashes) - j] * (GOLDEN ** np.uint64(j))
-    ends = np.flatnonzero(mix64(rolled) % np.uint64(divisor) == 0) + 1
-    ends = np.unique(np.concatenate((ends, [len(hashes)])))
-    return list(zip(np.concatenate(([0], ends[:-1])).tolist(), np.diff(np.concatenate(([0], ends))).tolist()))
+    out, last = [], 0
+    for end in (np.flatnonzero(mix64(rolled) % np.uint64(divisor) == 0) + 1).tolist():
+        if end - last >= 2:
+            out.append((last, end - last))
+            last = end
+    return out + [(last, len(hashes) - last)] * (last < len(hashes))
 
 
 def chunks(docs: DataFrame, window: int, divisor: int, doc_id: str, text: str) -> DataFrame:
