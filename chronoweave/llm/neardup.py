@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, mix64, word_hashes
-from .common import row_key, stable, stored
+from .common import row_key, small_batches, stable, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, ro
     m = bands * rows
 
     def run(batches):
-        for batch in in_slices(batches, "t", 4 << 20):
+        for batch in in_slices(batches, "t", 1 << 20):
             sets, one, two = shingle_multisets(batch.column("t"), width)
             full = [i for i, x in enumerate(sets) if x is not None]
             nodes, weight, bandings, shingles, counts, low, high = ([None] * len(sets) for _ in range(7))
@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     Texts without words, null ones included, are classes of their own; rows that repeat are in one class; null ids
     come last; other columns are not read; an empty table gives empty results.
     """
+    small_batches(docs.sparkSession)
     s = stored(sketches(docs, doc_id, text, width, bands, rows), "sketches")
     nodes = stable(s.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("_n")))
     # of the rows of a node, which have the same sketch, one
