@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices
-from .common import shared_dir, shuffle_partitions, stored
+from .common import shared_dir, shuffle_partitions, small_batches, stored
 
 STRIDE = 256
 LIMIT = 18
@@ -171,6 +171,7 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray,
 def write(docs: DataFrame, to: str, dtype: str = "<u2", limit: int = LIMIT, block_ids: int = BLOCK_IDS, **how) -> None:
     """Writes the documents' ids to the path `to`. A document stays in one block; rows whose id is null come first."""
     spark = docs.sparkSession
+    small_batches(spark)
     ids = stored(token_ids(docs, dtype=dtype, **how), "ids")
     symbols, counts = id_counts(ids, dtype)
     lengths = code_lengths(counts, limit)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, mix64, span_hashes, text_bytes
-from .common import row_key, stored
+from .common import row_key, small_batches, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,6 +65,7 @@ def removals(docs: DataFrame, window: int = 2, divisor: int = 2, doc_id: str = "
     """(row_key, cuts): for each row with something to remove, array of (at, n) in lines.
 
     The first occurrence is that of the smallest doc_id (null last), then row_key, then line."""
+    small_batches(docs.sparkSession)
     c = stored(chunks(docs, window, divisor, doc_id, text).distinct(), "chunks")
     again = c.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
     repeated = c.join(again, "hash", "left_semi")

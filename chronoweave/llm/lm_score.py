@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, word_hashes
-from .common import stored
+from .common import small_batches, stored
 
 VOCABULARY = 1 << 20
 FREQUENT = 1 << 21
@@ -56,6 +56,7 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 100.0, doc_id: s
     its smoothing alone; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vocab = vocabulary(docs, text)
     words = spark.sparkContext.broadcast(vocab)  # VOCABULARY at most
     v = len(vocab) + 2  # 0: any other word; 1 ..: the vocabulary; v - 1: start of a document
