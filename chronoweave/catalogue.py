@@ -11,7 +11,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import forecast, intervals, mining, relations, search, split, states
+from .operators import forecast, intervals, mining, relations, search, selection, split, states, supervised
 from .sources import tables
 
 GAP, NEAR, SUPPORT = 3, 8, 0.2
@@ -271,6 +271,77 @@ _add("patterns_used", lambda s, d: _legacy(s, d).groupBy("entity", "time").agg(F
 _add("config_summary", lambda s, d: _events(s, d).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.round(F.stddev_samp("p"), 6).alias("sd")), _with(EVENTS, "SELECT pattern, count(*) AS n, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS sd FROM pe GROUP BY pattern"))
 
 
+def _mdlp(src: str, out: str) -> str:
+    h = lambda a, b: f"(CASE WHEN {a} > 0 THEN -{a} / ({a} + {b}) * log2({a} / ({a} + {b})) ELSE 0 END + CASE WHEN {b} > 0 THEN -{b} / ({a} + {b}) * log2({b} / ({a} + {b})) ELSE 0 END)"
+    return f"""{out}_w AS (SELECT *, lag(value) OVER w AS prev, coalesce(first <> lag(last) OVER w, false) AS edge, sum(n0) OVER e AS a0, sum(n1) OVER e AS a1, sum(n0) OVER w - n0 AS l0, sum(n1) OVER w - n1 AS l1
+  FROM {src} WINDOW w AS (PARTITION BY variable, segment ORDER BY value), e AS (PARTITION BY variable, segment)),
+{out}_g AS (SELECT variable, segment, (value + prev) / 2 AS cut, round({h('a0', 'a1')} - (l0 + l1) / (a0 + a1) * {h('l0', 'l1')} - (a0 + a1 - l0 - l1) / (a0 + a1) * {h('(a0 - l0)', '(a1 - l1)')}, 9) AS gain
+  FROM (SELECT *, max(edge) OVER (PARTITION BY variable, segment) AS edges FROM {out}_w) WHERE prev IS NOT NULL AND (edge OR NOT edges)),
+{out} AS (SELECT * FROM {out}_g QUALIFY row_number() OVER (PARTITION BY variable, segment ORDER BY gain DESC, cut) = 1)"""
+
+
+MDLP = OBS + """,
+vc AS (SELECT variable, value, count(*) FILTER (class = 0) AS n0, count(*) FILTER (class = 1) AS n1, arg_min(class, (entity, time)) AS first, arg_max(class, (entity, time)) AS last, 1 AS segment FROM obs JOIN cls USING (entity) GROUP BY variable, value),
+""" + _mdlp("vc", "s1") + """,
+v2 AS (SELECT vc.* REPLACE (CASE WHEN value >= cut THEN 2 ELSE 1 END AS segment) FROM vc JOIN s1 USING (variable)),
+""" + _mdlp("v2", "s2")
+_values = lambda s, d: supervised.value_counts(_obs(s, d), tables.classes(_obs(s, d)))
+_add("mdlp_first_split", lambda s, d: supervised.best_splits(_values(s, d).withColumn("segment", F.lit(1))).select("variable", "cut", F.round("gain", 6).alias("gain")), _with(MDLP, "SELECT variable, cut, round(gain, 6) AS gain FROM s1"))
+_add("mdlp_cutpoints", lambda s, d: supervised.entropy_cuts(_obs(s, d), tables.classes(_obs(s, d)), 3), _with(MDLP, "SELECT variable, cut FROM s1 UNION ALL SELECT variable, cut FROM (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY variable ORDER BY gain DESC, cut) = 1)"))
+DP = DUR + """,
+dp AS (SELECT * FROM (SELECT variable, state, duration, count(*) FILTER (class = 0) AS na, count(*) FILTER (class = 1) AS nb FROM du GROUP BY variable, state, duration) QUALIFY max(na) OVER (PARTITION BY variable, state) > 0 AND max(nb) OVER (PARTITION BY variable, state) > 0),
+dc AS (SELECT *, sum(na) OVER e AS ta, sum(nb) OVER e AS tb, sum(na) OVER w AS fa, sum(nb) OVER w AS fb, lead(duration) OVER w AS nx, na + nb AS t FROM dp WINDOW e AS (PARTITION BY variable, state), w AS (PARTITION BY variable, state ORDER BY duration))"""
+_dp = lambda s, d: supervised.class_pairs(_durations(s, d))
+_add("duration_ks_score", lambda s, d: supervised.ks_score(_dp(s, d)), _with(DP, "SELECT variable, round(sum(x), 6) AS score FROM (SELECT variable, state, max(abs(fa / ta - fb / tb)) AS x FROM dc GROUP BY ALL) GROUP BY variable"))
+_add("duration_wasserstein_score", lambda s, d: supervised.wasserstein_score(_dp(s, d)), _with(DP, "SELECT variable, round(sum(abs(fa / ta - fb / tb) * coalesce(nx - duration, 0)), 6) AS score FROM dc GROUP BY variable"))
+_add("duration_rank_score", lambda s, d: supervised.rank_score(_dp(s, d)), _with(DP + ", rk AS (SELECT variable, state, sum(na * (fa + fb - t + (t + 1) / 2)) AS r, sum(t * t * t - t) AS ties, CAST(any_value(ta) AS DOUBLE) AS m, CAST(any_value(tb) AS DOUBLE) AS k FROM dc GROUP BY ALL), rv AS (SELECT *, m * k / 12 * (m + k + 1 - ties / ((m + k) * (m + k - 1))) AS v FROM rk)", "SELECT variable, round(sum(greatest(abs(r - m * (m + 1) / 2 - m * k / 2) - 0.5, 0) / sqrt(v)), 6) AS score FROM rv WHERE v > 0 GROUP BY variable"))
+_add("duration_kl_score", lambda s, d: supervised.duration_kl_score(_dp(s, d)), _with(DP + """,
+kg AS (SELECT variable, state, sum(na) AS ta, sum(nb) AS tb, min(duration) AS lo, max(duration) AS hi, CAST(least(10, greatest(2, floor(sqrt(sum(na) + sum(nb))))) AS BIGINT) AS bins FROM dp GROUP BY ALL HAVING sum(na) >= 2 AND sum(nb) >= 2 AND max(duration) > min(duration)),
+kh AS (SELECT variable, state, CAST(least(bins - 1, floor((duration - lo) / ((hi + 1e-10::DOUBLE - lo) / bins))) AS BIGINT) AS bin, sum(na) AS na, sum(nb) AS nb FROM dp JOIN kg USING (variable, state) GROUP BY ALL),
+kf AS (SELECT g.variable, (coalesce(na, 0) + 1e-10::DOUBLE) / (ta + 1e-10::DOUBLE * bins) AS p, (coalesce(nb, 0) + 1e-10::DOUBLE) / (tb + 1e-10::DOUBLE * bins) AS q FROM (SELECT *, unnest(range(bins)) AS bin FROM kg) g LEFT JOIN kh USING (variable, state, bin))""", "SELECT variable, round(sum((p - q) * ln(p / q) / 2), 6) AS score FROM kf GROUP BY variable"))
+_add("duration_mean_difference_score", lambda s, d: supervised.mean_difference_score(_durations(s, d)), _with(DUR, "SELECT variable, round(sum(-(abs(m0 - m1) + 0.001 * (d0 + d1))), 6) AS score FROM (SELECT variable, state, coalesce(avg(duration) FILTER (class = 0), 0) AS m0, coalesce(avg(duration) FILTER (class = 1), 0) AS m1, coalesce(stddev_pop(duration) FILTER (class = 0), 0) AS d0, coalesce(stddev_pop(duration) FILTER (class = 1), 0) AS d1 FROM du GROUP BY ALL) GROUP BY variable"))
+_add("self_transition_score", lambda s, d: supervised.self_transition_score(_binned(_obs(s, d)), tables.classes(_obs(s, d))), _with(BINS, "SELECT variable, round(sum(abs(s0 - s1)), 6) AS score FROM (SELECT variable, bin, coalesce(avg(CAST(bin = nb AS INTEGER)) FILTER (class = 0), 0) AS s0, coalesce(avg(CAST(bin = nb AS INTEGER)) FILTER (class = 1), 0) AS s1 FROM (SELECT *, lead(bin) OVER (PARTITION BY entity, variable ORDER BY time) AS nb FROM pts) JOIN cls USING (entity) WHERE nb IS NOT NULL GROUP BY ALL) GROUP BY variable"))
+_add("tid3_mean_gaps", lambda s, d: supervised.mean_gaps(_durations(s, d)), _with(DUR, "SELECT variable, state, gap FROM (SELECT variable, state, round(abs(lead(m) OVER (PARTITION BY variable ORDER BY state) - m), 6) AS gap FROM (SELECT variable, state, avg(duration) AS m FROM du GROUP BY ALL)) WHERE gap IS NOT NULL"))
+_add("score_summary_total", lambda s, d: supervised.with_total(search.welch_score(_durations(s, d))), _with(WELCH, "SELECT variable, round(sum(score), 6) AS score FROM (SELECT variable, round(sum(abs(t)), 6) AS score FROM tt GROUP BY variable) GROUP BY ROLLUP (variable)"))
+CROSS = _pairs_sql(same_variable=True) + ", xd AS (SELECT sym_a, sym_b, rel, class, greatest(ea, eb) - least(sa, sb) AS duration FROM pr JOIN cls USING (entity))"
+_cross = lambda s, d: supervised.cross_durations(_pairs(s, d, skip_same_variable=True), tables.classes(_obs(s, d)))
+_add("cross_durations", lambda s, d: _cross(s, d).groupBy("sym_a", "sym_b", "rel", "class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 6).alias("mean")), _with(CROSS, "SELECT sym_a, sym_b, rel, class, count(*) AS n, round(avg(duration), 6) AS mean FROM xd GROUP BY ALL"))
+_add("cross_top_keys_score", lambda s, d: supervised.top_keys_score(_cross(s, d), 20), _with(CROSS + ", xs AS (SELECT sym_a, sym_b, rel, count(*) FILTER (class = 0) AS n0, count(*) FILTER (class = 1) AS n1, avg(duration) FILTER (class = 0) AS m0, avg(duration) FILTER (class = 1) AS m1, var_samp(duration) FILTER (class = 0) AS v0, var_samp(duration) FILTER (class = 1) AS v1 FROM xd GROUP BY ALL)", "SELECT round(coalesce(sum(t), 0) / 20, 6) AS score FROM (SELECT abs(m1 - m0) / sqrt(v0 / n0 + v1 / n1) AS t FROM xs WHERE n0 >= 2 AND n1 >= 2 AND v0 + v1 > 0 ORDER BY t DESC LIMIT 20)"))
+_add("entity_states", lambda s, d: supervised.entity_equal_frequency(_obs(s, d), 2).select("entity", "variable", "time", "bin"), _with(OBS, "SELECT entity, variable, time, CASE WHEN value >= round(quantile_cont(value, 0.5) OVER (PARTITION BY entity, variable), 6) THEN 2 ELSE 1 END AS bin FROM obs"))
+
+
+def _composite(spark: SparkSession, d: str) -> DataFrame:
+    obs = _obs(spark, d)
+    return supervised.composite({"knowledge": states.knowledge(obs, _known(spark)), "quantile": _binned(obs)})
+
+
+COMPOSITE = BINS + """,
+cr AS (SELECT entity, variable, 'knowledge' AS method, time, CASE WHEN variable = 5 THEN -1 WHEN value < 15 THEN 1 WHEN value < 35 THEN 2 WHEN value < 70 THEN 3 ELSE 4 END AS bin FROM obs UNION ALL SELECT entity, variable, 'quantile', time, bin FROM pts),
+ci AS (SELECT *, row_number() OVER (ORDER BY variable, method, bin) AS id FROM (SELECT DISTINCT variable, method, bin FROM cr WHERE bin >= 0)),
+cp AS (SELECT entity, variable, method, time, CAST(coalesce(id, -1) AS INTEGER) AS state FROM cr LEFT JOIN ci USING (variable, method, bin))"""
+_add("composite_states", _composite, _with(COMPOSITE, "SELECT * FROM cp"))
+_add("composite_intervals", lambda s, d: intervals.merge(_composite(s, d), GAP, ("entity", "variable", "method")), _with(COMPOSITE + ",\n" + _islands("cp", GAP, "ct").replace("entity, variable", "entity, variable, method"), "SELECT * FROM ct"))
+
+
+def _prefix_scores(spark: SparkSession, d: str) -> DataFrame:
+    obs = _obs(spark, d)
+    levels = mining.mine(_pairs(spark, d), _least(spark, d), 3)
+    stats = selection.class_statistics([selection.single_instances(intervals.positioned(_sti(obs))), levels[0]], tables.classes(obs))
+    return selection.prefix_scores(levels[-1].select("symbols", "rels").distinct(), stats)
+
+
+SELECT = TRIPLES + """,
+f3k AS (SELECT pattern FROM f3 GROUP BY pattern HAVING count(DISTINCT entity) >= """ + LEAST + """),
+p3 AS (SELECT DISTINCT '3-' || s0 || '_' || s1 || '_' || s2 || '_' || r01 || '_' || r02 || '_' || r12 AS pattern, '1-' || s0 || '_' AS q1, '2-' || s0 || '_' || s1 || '_' || r01 AS q2 FROM t3),
+pi AS (SELECT '1-' || state || '_' AS q, entity, "end" - start AS x FROM sti UNION ALL SELECT '2-' || sym_a || '_' || sym_b || '_' || rel, entity, greatest(ea, eb) - sa FROM fr),
+pt AS (SELECT q, class, round(count(*) / any_value(n_of), 3) AS vs, round(avg(n), 3) AS hs, round(avg(x), 3) AS mmd FROM (SELECT q, entity, count(*) AS n, avg(x) AS x FROM pi GROUP BY ALL) JOIN cls USING (entity) JOIN (SELECT class, count(*) AS n_of FROM cls GROUP BY class) USING (class) GROUP BY q, class),
+pd AS (SELECT pattern, k, coalesce(b.vs, 0) - coalesce(a.vs, 0) AS vs, coalesce(b.hs, 0) - coalesce(a.hs, 0) AS hs, coalesce(b.mmd, 0) - coalesce(a.mmd, 0) AS mmd FROM (SELECT pattern, unnest([1, 2]) AS k, unnest([q1, q2]) AS q FROM p3 JOIN f3k USING (pattern)) z LEFT JOIN pt a ON a.q = z.q AND a.class = 0 LEFT JOIN pt b ON b.q = z.q AND b.class = 1),
+px AS (SELECT pattern, round(max(vs) FILTER (k = 2), 3) AS diff_vs, round(max(hs) FILTER (k = 2), 3) AS diff_hs, round(max(mmd) FILTER (k = 2), 3) AS diff_mmd, round(avg(mmd * mmd), 3) AS mean_squared_mmd, round(avg(vs), 3) AS mean_diff_vs FROM pd GROUP BY pattern)"""
+_add("pattern_prefix_scores", _prefix_scores, _with(SELECT, "SELECT * FROM px"))
+_add("pattern_selection_flags", lambda s, d: selection.selected(_prefix_scores(s, d).select("pattern", "diff_vs", "diff_mmd"), ["diff_vs", "diff_mmd"], [5, 20], seed=0), _with(SELECT, """SELECT *, greatest(binary_diff_vs_20, binary_diff_mmd_20, binary_random_20) AS binary_all FROM (SELECT pattern, diff_vs, diff_mmd, """ + ", ".join(f"CAST(row_number() OVER (ORDER BY {o}) <= {n} AS INTEGER) AS binary_{m}_{n}" for m, o in (("diff_vs", "diff_vs DESC, pattern"), ("diff_mmd", "diff_mmd DESC, pattern"), ("random", "md5('0:' || pattern), pattern")) for n in (5, 20)) + " FROM px)"))
+_add("cutpoint_stability", lambda s, d: supervised.cut_stability(_obs(s, d).groupBy((F.col("entity") % 5).alias("fold"), "variable").agg(F.median("value").alias("cut")).withColumn("i", F.lit(0)), 0.05), _with(OBS, "SELECT variable, i, round(stddev_samp(cut) / abs(avg(cut)), 6) AS cv, round(avg(CAST(abs(cut - mid) <= 0.05::DOUBLE * abs(mid) AS INTEGER)), 6) AS agreement FROM (SELECT *, median(cut) OVER (PARTITION BY variable) AS mid FROM (SELECT entity % 5 AS fold, variable, median(value) AS cut, 0 AS i FROM obs GROUP BY ALL)) GROUP BY variable, i"))
+
+
 def queries() -> dict:
     return dict(Q)
 
