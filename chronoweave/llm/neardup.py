@@ -208,16 +208,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     mixed = stored(c.join(several.select("bucket", second.alias("second")), "bucket"), "mixed")
     more = close(mixed.where("node != second.node and node != lead and root != second.root").select(F.col("second").alias("a"), one().alias("b")))
     again = stored(verified(more, sets, threshold), "links")
-    # pairs of different classes in a bucket that no leader has covered
-    rest = mixed.where("node != second.node and node != lead").select("bucket", "root", one().alias("p"))
+    if again.limit(1).count():
+        links = stored(links.unionByName(again).distinct(), "links")
+        roots = components(links)
+    # pairs in a bucket that no leader has covered and whose classes, by all links so far, still differ
+    now = mixed.where("node != second.node and node != lead").drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = now.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("bucket")
+    rest = now.join(apart, "bucket").select("bucket", "root", one().alias("p"))
     y = rest.select("bucket", F.col("root").alias("root_b"), F.col("p").alias("b"))
     near = F.expr("least(p.weight, b.weight) >= " + repr(float(threshold)) + " * greatest(p.weight, b.weight)")
     alike = F.expr(f"128 - bit_count(p.low ^ b.low) - bit_count(p.high ^ b.high) >= {least}")
     crossed = rest.join(y, (rest["bucket"] == y["bucket"]) & F.expr("p.node < b.node and root != root_b") & near & alike)
     last = stored(verified(close(crossed.select(F.col("p").alias("a"), "b")), sets, threshold), "links")
-    more_links = again.unionByName(last)
-    if more_links.limit(1).count():
-        links = stored(links.unionByName(more_links).distinct(), "links")
+    if last.limit(1).count():
+        links = stored(links.unionByName(last).distinct(), "links")
         roots = components(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
