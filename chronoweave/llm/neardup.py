@@ -10,7 +10,8 @@ Documents with the same words are one node. Bands of the signature make buckets;
 compared with a leader; in buckets that then hold several classes, with a second leader of another class; whatever
 pairs of different classes are left in a bucket are compared too, so no bucket is capped. A pair whose signatures
 differ too much for the threshold (one bit of each component, six deviations) is not looked up; every other pair is
-verified on the multisets.
+verified on the multisets. Pairs left after the leaders have to pass longer signatures as well (FINE components, two
+bits of each), made for these nodes alone, and count in the first bucket that they share.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .bytetext import in_slices, mix64, word_hashes
 from .common import row_key, small_batches, stable, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Components of the longer signatures.
+FINE = 1024
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -134,6 +137,41 @@ def agreeing_bits(components_: int, threshold: float) -> int:
     return int(np.floor(128 - n + n * p - 6 * np.sqrt(n * p * (1 - p))))
 
 
+def fine_least(threshold: float) -> int:
+    """How many of FINE two-bit components two documents at the threshold share at least, but for one pair in 10**6."""
+    p = threshold + (1 - threshold) / 4
+    return int(np.floor(FINE * p - 5 * np.sqrt(FINE * p * (1 - p))))
+
+
+def fine_bits(sets: DataFrame) -> DataFrame:
+    """(node, fine): two bits of each of FINE components as a struct of longs, first bits p0, p1, ..., then second bits q0, q1, ...
+
+    A few multisets are signed at a time, so memory does not grow with the table."""
+    longs = FINE // 64
+    names = [f"p{i}" for i in range(longs)] + [f"q{i}" for i in range(longs)]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                held = [[np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(c)] for c in ("shingles", "counts")]
+                owner = np.repeat(np.arange(part.num_rows), [len(x) for x in held[0]])
+                with np.errstate(over="ignore"):
+                    elements = mix64(np.concatenate(held[0]).astype(np.uint64) + GOLDEN)
+                sig = mix64(signatures(elements, np.concatenate(held[1]).astype(np.int64), owner, part.num_rows, FINE).view(np.uint64))
+                planes = [np.packbits((sig >> np.uint64(k) & np.uint64(1)).astype(bool), axis=1).view(np.int64) for k in (0, 1)]
+                columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in planes for i in range(longs)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *columns], ["node", *names])
+
+    out = sets.mapInArrow(run, "node binary, " + ", ".join(f"{n} long" for n in names))
+    return out.select("node", F.struct(*names).alias("fine"))
+
+
+def fine_agreement(a: str, b: str) -> str:
+    """SQL for the number of components whose two bits agree."""
+    return f"{FINE} - (" + " + ".join(f"bit_count(({a}.p{i} ^ {b}.p{i}) | ({a}.q{i} ^ {b}.q{i}))" for i in range(FINE // 64)) + ")"
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap by the threshold at least, with their similarity."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
@@ -214,12 +252,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     # pairs in a bucket that no leader has covered and whose classes, by all links so far, still differ
     now = mixed.where("node != second.node and node != lead").drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = now.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("bucket")
-    rest = now.join(apart, "bucket").select("bucket", "root", one().alias("p"))
-    y = rest.select("bucket", F.col("root").alias("root_b"), F.col("p").alias("b"))
+    left = stored(now.join(apart, "bucket").select("bucket", "root", *(F.col(n) for n in ("node", "weight", "low", "high"))), "left")
+    some = left.select("node").distinct()
+    fine = fine_bits(sets.join(some, "node", "left_semi")).join(reps.select("node", "bands"), "node")
+    rest = left.join(stored(fine, "fine"), "node").select("bucket", "root", F.struct("node", "weight", "low", "high", "fine", "bands").alias("p"))
+    y = rest.select(F.col("bucket").alias("bucket_b"), F.col("root").alias("root_b"), F.col("p").alias("b"))
     near = F.expr("least(p.weight, b.weight) >= " + repr(float(threshold)) + " * greatest(p.weight, b.weight)")
     alike = F.expr(f"128 - bit_count(p.low ^ b.low) - bit_count(p.high ^ b.high) >= {least}")
-    crossed = rest.join(y, (rest["bucket"] == y["bucket"]) & F.expr("p.node < b.node and root != root_b") & near & alike)
-    last = stored(verified(close(crossed.select(F.col("p").alias("a"), "b")), sets, threshold), "links")
+    finely = F.expr(f"{fine_agreement('p.fine', 'b.fine')} >= {fine_least(threshold)}")
+    here = F.expr("bucket = get(filter(p.bands, (x, i) -> x = b.bands[i]), 0)")
+    crossed = rest.join(y, (F.col("bucket") == F.col("bucket_b")) & F.expr("p.node < b.node and root != root_b") & near & alike & finely & here)
+    last = stored(verified(crossed.select(F.col("p.node").alias("a"), F.col("b.node").alias("b")), sets, threshold), "links")
     if last.limit(1).count():
         links = stored(links.unionByName(last).distinct(), "links")
         roots = components(links)

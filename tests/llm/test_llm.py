@@ -161,6 +161,28 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.deduplicate(docs).columns == docs.columns
 
 
+def test_classes_of_a_star_of_edits(spark):
+    """Copies with few to many words changed: leaders leave several classes in the same buckets."""
+    rng = np.random.default_rng(4)
+    star = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        at = set(rng.choice(150, i % 13, replace=False).tolist())
+        rows.append((i, " ".join(f"e{rng.integers(5)}" if j in at else w for j, w in enumerate(star))))
+    members, _ = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 10
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == want
+
+
+def test_longer_signatures_keep_pairs_at_the_threshold(spark):
+    sets = [(bytes([i]), np.arange(20 * i, 20 * i + 180, dtype=np.uint32).tobytes(), np.ones(180, np.uint32).tobytes()) for i in range(2)]
+    fine = neardup.fine_bits(spark.createDataFrame(sets, "node binary, shingles binary, counts binary"))
+    a, b = (fine.where(F.hex("node") == k).select(F.col("fine").alias(n)) for k, n in (("00", "a"), ("01", "b")))
+    agree = a.crossJoin(b).selectExpr(neardup.fine_agreement("a", "b")).first()[0]
+    assert neardup.fine_least(0.8) <= agree < 1024
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     e = rng.integers(1, 2**63, 60, dtype=np.uint64)
