@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, mix64, word_hashes
@@ -163,7 +163,7 @@ def fine_bits(sets: DataFrame) -> DataFrame:
                 columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in planes for i in range(longs)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), *columns], ["node", *names])
 
-    out = sets.mapInArrow(run, "node binary, " + ", ".join(f"{n} long" for n in names))
+    out = sets.mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names))
     return out.select("node", F.struct(*names).alias("fine"))
 
 
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 sims[i] = both / (int(ca.sum()) + int(cb.sum()) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], ["a", "b", "similarity"]).filter(pa.array(sims >= threshold - 1e-12))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary, similarity double")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,19 +211,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     """(members, links).
 
     members: a row for each row of `docs`: doc_id, row_key, class_id (smallest doc_id of its class), class_size,
-    stands (true for one row of each class, one with that id). links: (a, b, similarity) between nodes.
+    stands (true for one row of each class, one with that id). links: (a, b, similarity) between
+    representative rows of different texts, by row number.
     Texts without words, null ones included, are classes of their own; rows that repeat are in one class; null ids
     come last; other columns are not read; an empty table gives empty results.
     """
     small_batches(docs.sparkSession)
     s = stored(sketches(docs, doc_id, text, width, bands, rows), "sketches")
     nodes = stable(s.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("_n")))
-    # of the rows of a node, which have the same sketch, one
-    reps = s.join(nodes.select("node", F.col("head.row").alias("row")), ["node", "row"], "left_semi")
+    # of the rows of a node, which have the same sketch, one; from here on its number names the node
+    reps = s.join(nodes.select(F.col("head.row").alias("row")), "row", "left_semi").drop("node").withColumnRenamed("row", "node")
     entries = reps.select("node", "weight", "low", "high", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("bucket", "lead")
     buckets = stored(entries.join(shared, "bucket"), "buckets")
-    sets = reps.select("node", "shingles", "counts")
+    # the long columns of nodes that share a bucket, moved once
+    wanted = stored(buckets.select(F.col("node").alias("row")).distinct(), "wanted")
+    sets = stored(s.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "shingles", "counts", "bands"), "sets")
     least = agreeing_bits(bands * rows, threshold)
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -254,7 +257,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     apart = now.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("bucket")
     left = stored(now.join(apart, "bucket").select("bucket", "root", *(F.col(n) for n in ("node", "weight", "low", "high"))), "left")
     some = left.select("node").distinct()
-    fine = fine_bits(sets.join(some, "node", "left_semi")).join(reps.select("node", "bands"), "node")
+    fine = fine_bits(sets.select("node", "shingles", "counts").join(some, "node", "left_semi")).join(sets.select("node", "bands"), "node")
     rest = left.join(stored(fine, "fine"), "node").select("bucket", "root", F.struct("node", "weight", "low", "high", "fine", "bands").alias("p"))
     y = rest.select(F.col("bucket").alias("bucket_b"), F.col("root").alias("root_b"), F.col("p").alias("b"))
     near = F.expr("least(p.weight, b.weight) >= " + repr(float(threshold)) + " * greatest(p.weight, b.weight)")
@@ -267,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
         links = stored(links.unionByName(last).distinct(), "links")
         roots = components(links)
 
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.withColumn("rep", F.col("head.row")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = named.groupBy("root").agg(F.min("head").alias("top"), F.sum("_n").alias("class_size"))
     of = named.join(classes, "root").select("node", F.col("top.doc_id").alias("class_id"), F.col("top.row").alias("top_row"), "class_size")
     members = s.select("doc_id", "row_key", "row", "node").join(of, "node", "left")

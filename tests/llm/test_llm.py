@@ -176,9 +176,9 @@ def test_classes_of_a_star_of_edits(spark):
 
 
 def test_longer_signatures_keep_pairs_at_the_threshold(spark):
-    sets = [(bytes([i]), np.arange(20 * i, 20 * i + 180, dtype=np.uint32).tobytes(), np.ones(180, np.uint32).tobytes()) for i in range(2)]
-    fine = neardup.fine_bits(spark.createDataFrame(sets, "node binary, shingles binary, counts binary"))
-    a, b = (fine.where(F.hex("node") == k).select(F.col("fine").alias(n)) for k, n in (("00", "a"), ("01", "b")))
+    sets = [(i, np.arange(20 * i, 20 * i + 180, dtype=np.uint32).tobytes(), np.ones(180, np.uint32).tobytes()) for i in range(2)]
+    fine = neardup.fine_bits(spark.createDataFrame(sets, "node long, shingles binary, counts binary"))
+    a, b = (fine.where(F.col("node") == k).select(F.col("fine").alias(n)) for k, n in ((0, "a"), (1, "b")))
     agree = a.crossJoin(b).selectExpr(neardup.fine_agreement("a", "b")).first()[0]
     assert neardup.fine_least(0.8) <= agree < 1024
 
