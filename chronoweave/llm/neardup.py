@@ -74,7 +74,8 @@ def shingle_multisets(texts: pa.Array, width: int) -> tuple[list, np.ndarray, np
     with np.errstate(over="ignore"):
         combined = np.zeros(len(words), np.uint64)
         for j in range(width):
-            combined[: len(words) - j] = mix64(combined[: len(words) - j] + words[j:] + GOLDEN) if j else mix64(words + GOLDEN)
+            n = max(0, len(words) - j)
+            combined[:n] = mix64(combined[:n] + words[j:] + GOLDEN) if j else mix64(words + GOLDEN)
     sets, one, two = [], np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
     with np.errstate(over="ignore"):
         place = np.arange(len(words), dtype=np.uint64) if len(words) else np.zeros(0, np.uint64)

@@ -161,6 +161,14 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.deduplicate(docs).columns == docs.columns
 
 
+def test_near_duplicates_of_few_words(spark):
+    """Texts of fewer words than a shingle that stand alone in their Arrow slice."""
+    for n in range(1, 6):
+        df = spark.createDataFrame([(1, " ".join("abcde"[:n]))], "doc_id long, text string")
+        got = neardup.near_duplicates(df)[0].collect()
+        assert [(r["doc_id"], r["class_id"], r["class_size"], r["stands"]) for r in got] == [(1, 1, 1, True)], n
+
+
 def test_classes_of_a_star_of_edits(spark):
     """Copies with few to many words changed: leaders leave several classes in the same buckets."""
     rng = np.random.default_rng(4)
