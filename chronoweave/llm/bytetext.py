@@ -52,6 +52,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64((sums[ends] - sums[starts]) * _powers(len(data) + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """1 at the first byte of each word, 0 elsewhere."""
+    inside = _IS_WORD[data]
+    out = inside.astype(np.int64)
+    out[1:] &= ~inside[:-1]
+    return out
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): hashes of the lower-cased words; those of text i are hashes[offsets[i]:offsets[i+1]]."""
     data, offsets = text_bytes(texts)

@@ -271,6 +271,36 @@ def test_line_dedup(docs, empty, spark):
     assert got[0]["text"] is None and got[3]["text"] == "one" and got[None]["text"] == "no id at all"
 
 
+def test_line_dedup_of_short_passages(spark):
+    """Passages of 1 to 4 lines and over 50 words in otherwise different texts go whole; of 50 words they may stay."""
+    rng = np.random.default_rng(5)
+    name = iter(range(10**6))
+    line = lambda n: " ".join(f"w{next(name)}" for _ in range(n))
+    rows, kept = [], {}
+    for k in (1, 2, 3, 4):
+        for j in range(8):
+            lengths = [51] if k == 1 else rng.multinomial(51, np.ones(k) / k).tolist()
+            passage = "\n".join(map(line, lengths))
+            for copy in range(3):
+                before, after = ["\n".join(line(int(x)) for x in rng.integers(1, 20, rng.integers(1, 4))) for _ in range(2)]
+                kept[len(rows)] = f"{before}\n{after}" if copy else f"{before}\n{passage}\n{after}"
+                rows.append((len(rows), f"{before}\n{passage}\n{after}"))
+    single = line(60)
+    for copy in range(2):
+        kept[len(rows)] = "" if copy else single
+        rows.append((len(rows), single))
+    fifty = line(50)  # a single line is no chunk
+    for copy in range(2):
+        kept[len(rows)] = f"a{copy}\n{fifty}\nb{copy}"
+        rows.append((len(rows), kept[len(rows)]))
+    period = [line(20) for _ in range(2)]  # a repeat of itself keeps its first occurrence
+    rows.append((len(rows), "\n".join(period * 6)))
+    out = {r["doc_id"]: r for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: out[i]["text"] for i in kept} == kept
+    assert out[len(rows) - 1]["text"].split("\n")[:2] == period and out[len(rows) - 1]["_removed"] > 0
+    assert all(r["_lines"] - r["_removed"] == len(r["text"].split("\n")) for r in out.values() if r["text"])
+
+
 def test_lm_score(spark, docs, empty):
     good, bad = "the quick brown fox jumps over the lazy dog ", "zxq vvk plo mmn rtt ggh "
     rows = [(i, (good if i % 2 else bad) * 20) for i in range(40)]
