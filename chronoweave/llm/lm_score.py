@@ -4,9 +4,11 @@ A target model (documents labelled as good) and a background model (all document
 vocabulary, smoothed in the same way. A document's score is its loss per token under the target model minus that
 under the background model: the lower, the closer to the target.
 
-Words that make up at least one in `VOCABULARY` of all tokens have an id; the others share one. Bigram counts are a
-table that grows with the corpus. Bigrams that make up at least one in `FREQUENT` of all are sent to every executor
-(there can be no more than `FREQUENT` of them) and scored where the document is read; the rest are joined.
+Every word that occurs `LEAST` times has statistics of its own, however large the corpus; the others share one entry.
+Words that make up at least one in `VOCABULARY` of all tokens have an id, which every executor knows (there can be no
+more than `VOCABULARY` of them); the code of another word is its hash with the sign bit set, and its counts stay in a
+table that grows with the corpus, as bigram counts do. Bigrams of words with ids that make up at least one in
+`FREQUENT` of all are sent to every executor too and scored where the document is read; the rest are joined.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import small_batches, stored
 
 VOCABULARY = 1 << 20
 FREQUENT = 1 << 21
+LEAST = 2
+SIGN = np.uint64(1 << 63)
 
 
 def _arrays(df: DataFrame, *cols: str) -> list[np.ndarray]:
@@ -34,18 +38,26 @@ def _slices(batches, column: str, most: int = 16 << 20):
             yield batch.slice(at, 4096)
 
 
-def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the words that make up at least one in `size` of all tokens (and occur twice), ascending: `size` at most."""
+def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> tuple[np.ndarray, DataFrame]:
+    """Hashes of the words that make up at least one in `size` of all tokens (and occur `LEAST` times), ascending: `size` at
+    most. And (in_row, once): for rows by a hash of theirs, codes of words that occur less than `LEAST` times in all.
+
+    A word below `LEAST` = 2 is in one row; rows whose hashes are the same share a list, which holds no other words."""
 
     def run(batches):
         for batch in in_slices(batches, "t"):
-            h, n = np.unique(word_hashes(batch.column("t"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            words, offsets = word_hashes(batch.column("t"))
+            h, at, n = np.unique(words, return_index=True, return_counts=True)
+            owner = np.searchsorted(offsets, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), batch.column("in_row").take(pa.array(owner))], ["h", "n", "in_row"])
 
-    counts = stored(docs.select(F.col(text).alias("t")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    found = docs.select(F.col(text).alias("t"), "in_row").mapInArrow(run, "h long, n long, in_row long")
+    counts = stored(found.groupBy("h").agg(F.sum("n").alias("n"), F.min("in_row").alias("in_row")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    (h,) = _arrays(counts.where((F.col("n") >= 2) & (F.col("n") * size >= total)), "h")
-    return np.sort(h.astype(np.int64).view(np.uint64))
+    (h,) = _arrays(counts.where((F.col("n") >= LEAST) & (F.col("n") * size >= total)), "h")
+    code = F.col("h").bitwiseOR(F.lit(-(1 << 63)))
+    once = counts.where(F.col("n") < LEAST).groupBy("in_row").agg(F.collect_list(code).alias("once"))
+    return np.sort(h.astype(np.int64).view(np.uint64)), once
 
 
 def score(docs: DataFrame, labels: DataFrame, strength: float = 100.0, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality") -> DataFrame:
@@ -57,79 +69,127 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 100.0, doc_id: s
     """
     spark = docs.sparkSession
     small_batches(spark)
-    vocab = vocabulary(docs, text)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("in_row"))
+    vocab, once = vocabulary(d, "t")
     words = spark.sparkContext.broadcast(vocab)  # VOCABULARY at most
-    v = len(vocab) + 2  # 0: any other word; 1 ..: the vocabulary; v - 1: start of a document
+    v = len(vocab) + 2  # 0: words below LEAST; 1 ..: the vocabulary; v - 1: start of a document
 
     def to_ids(batches):
         known = words.value
         for batch in in_slices(batches, "t"):
             h, offsets = word_hashes(batch.column("t"))
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            ids = np.where(known[at] == h, at + 1, 0).astype(np.int32) if len(known) else np.zeros(len(h), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], ["doc_id", "ids"])
+            ids = np.where(known[at] == h, at + 1, -1).astype(np.int32) if len(known) else np.full(len(h), -1, np.int32)
+            cuts = list(zip(offsets[:-1], offsets[1:]))
+            rare = [(h[a:b][ids[a:b] < 0] | SIGN).tobytes() for a, b in cuts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("in_row"), pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(rare, pa.binary())], ["doc_id", "in_row", "ids", "rare"])
+
+    def without_once(batches):
+        """Words below LEAST get id 0 and leave `rare`."""
+        for batch in _slices(batches, "ids"):
+            out, left = [], []
+            for ids, rare, gone in zip(batch.column("ids"), batch.column("rare"), batch.column("once")):
+                ids, rare = np.frombuffer(ids.as_py(), np.int32).copy(), np.frombuffer(rare.as_py(), np.int64)
+                if gone.is_valid:
+                    is_gone = np.isin(rare, gone.values.to_numpy())
+                    ids[np.flatnonzero(ids < 0)[is_gone]] = 0
+                    rare = rare[~is_gone]
+                out.append(ids.tobytes()), left.append(rare.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(left, pa.binary())], ["doc_id", "ids", "rare"])
 
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     kind = dict(d.dtypes)["doc_id"]
     target = labels.where((F.col(good) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    coded = d.mapInArrow(to_ids, f"doc_id {kind}, ids binary").join(target, "doc_id", "left")
-    coded = stored(coded.select("doc_id", "ids", F.coalesce("good", F.lit(False)).alias("good"), F.monotonically_increasing_id().alias("row")), "coded")
-
-    def keys(ids: bytes) -> np.ndarray:
-        x = np.frombuffer(ids, np.int32).astype(np.int64)
-        return np.concatenate(([v - 1], x[:-1])) * v + x if len(x) else x
+    coded = d.mapInArrow(to_ids, f"doc_id {kind}, in_row long, ids binary, rare binary").join(once, "in_row", "left")
+    coded = coded.mapInArrow(without_once, f"doc_id {kind}, ids binary, rare binary").join(target, "doc_id", "left")
+    coded = stored(coded.select("doc_id", "ids", "rare", F.coalesce("good", F.lit(False)).alias("good"), F.monotonically_increasing_id().alias("row")), "coded")
+
+    def grams_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(c, w, owner): codes of context and word of each bigram, and which row of the batch it is in."""
+        ids = [np.frombuffer(x.as_py(), np.int32) for x in batch.column("ids")]
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        w = np.concatenate(ids).astype(np.int64)
+        w[w < 0] = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in batch.column("rare")])
+        c = np.concatenate(([v - 1], w[:-1])) if len(w) else w
+        c[np.flatnonzero(np.diff(owner)) + 1] = v - 1
+        return c, w, owner
 
     def count(batches):
         for batch in _slices(batches, "ids"):
-            every = [keys(x.as_py()) for x in batch.column("ids")]
-            good = np.repeat(np.array(batch.column("good").to_pylist(), bool), [len(x) for x in every])
-            k, at = np.unique(np.concatenate(every), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(at, minlength=len(k)).astype(np.int64)), pa.array(np.bincount(at, good, len(k)).astype(np.int64))], ["key", "b", "t"])
-
-    grams = stored(coded.select("ids", "good").mapInArrow(count, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "grams")
+            c, w, owner = grams_of(batch)
+            good = np.array(batch.column("good").to_pylist(), bool)[owner].astype(np.int64)
+            order = np.lexsort((w, c))
+            c, w, good = c[order], w[order], good[order]
+            first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))) if len(c) else order
+            b = np.diff(np.concatenate((first, [len(c)])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[first], w[first], b, np.add.reduceat(good, first) if len(c) else good)], ["c", "w", "b", "t"])
+
+    grams = stored(coded.select("ids", "rare", "good").mapInArrow(count, "c long, w long, b long, t long").groupBy("c", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "grams")
+    sides = ("context_b", "context_t", "word_b", "word_t")
+    none = F.lit(0).cast("long")
+    ends = grams.select(F.col("c").alias("code"), F.col("b").alias(sides[0]), F.col("t").alias(sides[1]), none.alias(sides[2]), none.alias(sides[3]))
+    ends = ends.unionByName(grams.select(F.col("w").alias("code"), none.alias(sides[0]), none.alias(sides[1]), F.col("b").alias(sides[2]), F.col("t").alias(sides[3])))
+    ends = stored(ends.groupBy("code").agg(*(F.sum(x).alias(x) for x in sides)), "margins")
+    code, *held = _arrays(ends.where("code >= 0"), "code", *sides)  # v rows at most
     marginal = {}
-    for name, c in (("context", F.floor(F.col("key") / v)), ("word", F.pmod("key", F.lit(v)))):
-        i, b, t = _arrays(grams.groupBy(c.cast("long").alias("i")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "i", "b", "t")  # v rows at most
-        for side, n in (("b", b), ("t", t)):
-            x = np.zeros(v)
-            x[i.astype(int)] = n
-            marginal[name, side] = x
-    total = int(marginal["word", "b"].sum())
+    for name, n in zip(sides, held):
+        marginal[name] = np.zeros(v)
+        marginal[name][code.astype(int)] = n
+    rare_words = ends.where("code < 0")
+    types = v + rare_words.count()
+    total, total_t = (x or 0 for x in ends.agg(F.sum("word_b"), F.sum("word_t")).first())
     sent = spark.sparkContext.broadcast(marginal)
 
-    def delta(key: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Loss under the target model minus loss under the background model."""
-        m, loss = sent.value, []
-        for side, n in (("t", t), ("b", b)):
-            base = (m["word", side][key % v] + 1.0) / (m["word", side].sum() + v)
-            loss.append(-np.log((n + strength * base) / (m["context", side][key // v] + strength)))
+    def delta(b: np.ndarray, t: np.ndarray, of: dict) -> np.ndarray:
+        """Loss under the target model minus loss under the background model, by counts of bigrams and of their words."""
+        loss = []
+        for side, n, everything in (("t", t, total_t), ("b", b, total)):
+            base = (of[f"word_{side}"] + 1.0) / (everything + types)
+            loss.append(-np.log((n + strength * base) / (of[f"context_{side}"] + strength)))
         return loss[0] - loss[1]
 
+    def by_ids(c: np.ndarray, w: np.ndarray) -> dict:
+        m = sent.value
+        return {x: m[x][np.maximum(c if x.startswith("context") else w, 0)] for x in sides}
+
     def weigh(batches):
         for batch in batches:
-            k, b, t = (batch.column(c).to_numpy() for c in ("key", "b", "t"))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(delta(k, b, t))], ["key", "delta"])
-
-    frequent = F.col("b") * FREQUENT >= max(total, 1)
-    hot_key, hot_b, hot_t = _arrays(grams.where(frequent), "key", "b", "t")  # FREQUENT at most
+            c, w, b, t = (batch.column(x).to_numpy() for x in ("c", "w", "b", "t"))
+            of = by_ids(c, w)
+            for x in sides:
+                of[x] = np.where((c if x.startswith("context") else w) < 0, batch.column(x).to_numpy(zero_copy_only=False), of[x])
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("w"), pa.array(delta(b, t, of))], ["c", "w", "delta"])
+
+    frequent = (F.col("c") >= 0) & (F.col("w") >= 0) & (F.col("b") * FREQUENT >= max(total, 1))
+    hot_c, hot_w, hot_b, hot_t = _arrays(grams.where(frequent), "c", "w", "b", "t")  # FREQUENT at most
+    hot_key = hot_c * v + hot_w
     order = np.argsort(hot_key)
-    hot = spark.sparkContext.broadcast((hot_key[order], delta(hot_key[order], hot_b[order], hot_t[order]).astype(np.float32) if len(order) else np.zeros(0, np.float32)))
+    hot = spark.sparkContext.broadcast((hot_key[order], delta(hot_b, hot_t, by_ids(hot_c, hot_w))[order].astype(np.float32) if len(order) else np.zeros(0, np.float32)))
 
     def local(batches):
         hot_key, hot_delta = hot.value
         for batch in _slices(batches, "ids"):
-            every = [keys(x.as_py()) for x in batch.column("ids")]
+            c, w, owner = grams_of(batch)
             rows = np.array(batch.column("row").to_pylist(), np.int64)
-            k = np.concatenate(every)
-            owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
+            k = np.where((c >= 0) & (w >= 0), c * v + w, -1)
             at = np.minimum(np.searchsorted(hot_key, k), max(len(hot_key) - 1, 0))
             known = hot_key[at] == k if len(hot_key) else np.zeros(len(k), bool)
-            part = np.bincount(owner[known], hot_delta[at[known]], len(every))
-            # a row for what is scored here, with a key of its own, and one for each of the other bigrams
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((-1 - rows, k[~known]))), pa.array(np.concatenate((rows, rows[owner[~known]]))), pa.array(np.concatenate((part, np.ones((~known).sum()))).astype(np.float32))], ["key", "row", "x"])
-
-    rare = grams.where(~frequent).mapInArrow(weigh, "key long, delta double")
-    parts = coded.select("ids", "row").mapInArrow(local, "key long, row long, x float").join(rare, "key", "left")
+            part = np.bincount(owner[known], hot_delta[at[known]], len(rows))
+            # a row for what is scored here, with a key of its own (no word has the code v), and one for each of the other bigrams
+            columns = (np.concatenate((rows, c[~known])), np.concatenate((np.full(len(rows), v), w[~known])), np.concatenate((rows, rows[owner[~known]])), np.concatenate((part, np.ones((~known).sum()))).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "w", "row", "x"])
+
+    # words with ids are looked up in the arrays: their rows are dealt by the other word and match nothing
+    others = grams.where(~frequent)
+    plain, mixed = others.where("c >= 0 and w >= 0"), others.where("c < 0 or w < 0")
+    for end, side in (("c", "context"), ("w", "word")):
+        of = rare_words.select(F.col("code").alias("_code"), f"{side}_b", f"{side}_t")
+        other = "w" if end == "c" else "c"
+        key = F.when(F.col(end) < 0, F.col(end)).otherwise(F.col(other).bitwiseAND(F.lit((1 << 63) - 1)))
+        mixed = mixed.withColumn("_key", key).join(of, F.col("_key") == F.col("_code"), "left").drop("_key", "_code")
+        plain = plain.withColumn(f"{side}_b", none).withColumn(f"{side}_t", none)
+    weighed = plain.unionByName(mixed).select("c", "w", "b", "t", *(F.coalesce(x, none).alias(x) for x in sides))
+    rare = weighed.mapInArrow(weigh, "c long, w long, delta double")
+    parts = coded.select("ids", "rare", "row").mapInArrow(local, "c long, w long, row long, x float").join(rare, ["c", "w"], "left")
     sums = parts.groupBy("row").agg(F.sum(F.col("x") * F.coalesce("delta", F.lit(1.0))).alias("diff"))
     n = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", "row", n.alias("n_tokens")).join(sums, "row").select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("diff") / F.col("n_tokens")).alias("score"))

@@ -313,6 +313,34 @@ def test_lm_score(spark, docs, empty):
     assert lm_score.score(empty, labels).count() == 0
 
 
+def test_lm_score_keeps_rare_words(spark, monkeypatch):
+    """Against a plain model in which each word that occurs twice has counts of its own, with 4 words sent at most."""
+    monkeypatch.setattr(lm_score, "FREQUENT", 8)
+    monkeypatch.setattr(lm_score.vocabulary, "__defaults__", (4,))
+    rng = np.random.default_rng(9)
+    name = lambda: ["the", "of"][rng.integers(2)] if rng.random() < 0.6 else f"rare{int(rng.integers(40))}"
+    rows = [(i, " ".join([name() for _ in range(12)] + [f"once{i}"] * (i % 2))) for i in range(30)] + [(30, ""), (31, None)]
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, quality int")
+    count = Counter(w for _, t in rows for w in words(t))
+    code = {i: [w if count[w] >= 2 else None for w in words(t)] for i, t in rows}
+    types = {w for x in code.values() for w in x} - {None}
+    models = []
+    for of in (range(10), range(32)):
+        pairs = Counter(p for i in of for p in zip(["<s>", *code[i]], code[i]))
+        models.append((pairs, Counter(p[0] for p in pairs.elements()), Counter(p[1] for p in pairs.elements())))
+
+    def loss(model, c, w):
+        pairs, context, word = model
+        base = (word[w] + 1) / (sum(word.values()) + len(types) + 2)
+        return -np.log((pairs[c, w] + 100 * base) / (context[c] + 100))
+
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert len(got) == len(rows)
+    for i, x in code.items():
+        expected = sum(loss(models[0], c, w) - loss(models[1], c, w) for c, w in zip(["<s>", *x], x)) / len(x) if x else None
+        assert got[i]["n_tokens"] == len(x) and (got[i]["score"] is None if not x else abs(got[i]["score"] - expected) < 1e-5), i
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).astype(np.float32)
