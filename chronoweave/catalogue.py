@@ -189,7 +189,7 @@ _add("tid3_logrank_score", lambda s, d: search.logrank_score(_durations(s, d)),
 la AS (SELECT variable, state, duration, count(*) AS n, sum(class) AS n1, sum(CASE WHEN censored THEN 0 ELSE 1 END) AS e, sum(CASE WHEN class = 1 AND NOT censored THEN 1 ELSE 0 END) AS e1 FROM du GROUP BY ALL),
 lr AS (SELECT *, sum(n) OVER w AS r, sum(n1) OVER w AS r1 FROM la WINDOW w AS (PARTITION BY variable, state ORDER BY duration DESC)),
 lz AS (SELECT variable, state, sum(e1 - e * r1 / r) AS o, sum(CASE WHEN r > 1 THEN e * (r1 / r) * (1 - r1 / r) * (r - e) / (r - 1) ELSE 0 END) AS v FROM lr GROUP BY ALL)""", "SELECT variable, round(sum(abs(o / sqrt(v))), 6) AS score FROM lz WHERE v > 0 GROUP BY variable"))
-_add("tid3_cutpoints", lambda s, d: search.greedy_cuts(_obs(s, d), tables.classes(_obs(s, d)), 3, 20, GAP))
+_add("tid3_cutpoints", lambda s, d: search.greedy_cuts(_obs(s, d), tables.classes(_obs(s, d)), 3, 100, GAP))
 _add("sti_intervals", lambda s, d: _sti(_obs(s, d)), _with(STI, "SELECT * FROM sti"))
 _add("symbol_support", lambda s, d: intervals.symbol_support(_sti(_obs(s, d))), _with(STI, "SELECT state, count(DISTINCT entity) AS support FROM sti GROUP BY state"))
 _add("sti_kl_text", lambda s, d: tables.interval_lines(_sti(_obs(s, d))), _with(STI, """SELECT entity, string_agg(start || ',' || "end" || ',' || state || ',' || variable, ';' ORDER BY start, "end", state, variable) || ';' AS line FROM sti GROUP BY entity"""))

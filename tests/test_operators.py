@@ -107,3 +107,15 @@ def test_stream_gives_the_batch_intervals(spark, tmp_path):
     batch = {(r["state"], r["start"], r["end"]) for r in intervals.merge(points(spark, *rows), 1).collect()}
     got = {(r["state"], r["start"], r["end"]) for r in spark.sql("select * from closed").collect()}
     assert got == {x for x in batch if x[0] != 9}
+
+
+def test_cut_points_try_the_reference_number_of_candidates(monkeypatch):
+    """The reference's nb_candidates is 100."""
+    from chronoweave import catalogue
+
+    tried = []
+    monkeypatch.setattr(catalogue, "_obs", lambda s, d: None)
+    monkeypatch.setattr(catalogue.tables, "classes", lambda obs: None)
+    monkeypatch.setattr(catalogue.search, "greedy_cuts", lambda obs, classes, bins, pool, max_gap: tried.append(pool))
+    catalogue.Q["tid3_cutpoints"](None, None)
+    assert tried == [100]
