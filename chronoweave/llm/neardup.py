@@ -6,12 +6,14 @@ range's width and whose points carry a time, a weight level inside the range and
 sees the points at levels up to its weight; a component is the earliest point seen. Two documents agree in a
 component with a probability of exactly their weighted Jaccard similarity.
 
-Documents with the same words are one node. Bands of the signature make buckets; in each bucket all nodes are
-compared with a leader; in buckets that then hold several classes, with a second leader of another class; whatever
-pairs of different classes are left in a bucket are compared too, so no bucket is capped. A pair whose signatures
-differ too much for the threshold (one bit of each component, six deviations) is not looked up; every other pair is
-verified on the multisets. Pairs left after the leaders have to pass longer signatures as well (FINE components, two
-bits of each), made for these nodes alone, and count in the first bucket that they share.
+Documents with the same words are one node. Bands of the signature make buckets. A node is the more central the larger
+its buckets are: copies close to what a group was copied from share their values with most of the group. A bucket's
+leader is its most central node, and each node is compared with the most central leader of its buckets; in buckets that
+then hold several classes, with the most central node of another class than the leader's. So a round has one pair a
+node at most. Whatever pairs of different classes are left in a bucket are compared too, so no bucket is capped: they
+have to pass longer signatures (FINE components, two bits of each), made for these nodes alone, and count in the first
+bucket that they share. A pair whose signatures differ too much for the threshold (one bit of each component, six
+deviations) is not looked up; every other pair is verified on the multisets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -93,16 +95,16 @@ def shingle_multisets(texts: pa.Array, width: int) -> tuple[list, np.ndarray, np
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, row_key, node, weight, bands, shingles, counts, low, high, row) for each row; node and what follows are null without words.
+    """(doc_id, row_key, node, weight, bands, low, high, row) for each row; node and what follows are null without words.
 
-    low, high: one bit of each of the first 128 components. node: 16 bytes that tell word sequences apart; shingles: 32-bit hashes for verification, in ascending order."""
+    low, high: one bit of each of the first 128 components. node: 16 bytes that tell word sequences apart."""
     m = bands * rows
 
     def run(batches):
         for batch in in_slices(batches, "t", 1 << 20):
             sets, one, two = shingle_multisets(batch.column("t"), width)
             full = [i for i, x in enumerate(sets) if x is not None]
-            nodes, weight, bandings, shingles, counts, low, high = ([None] * len(sets) for _ in range(7))
+            nodes, weight, bandings, low, high = ([None] * len(sets) for _ in range(5))
             if full:
                 elements, weights = (np.concatenate([sets[i][j] for i in full]) for j in (0, 1))
                 owner = np.repeat(np.arange(len(full)), [len(sets[i][0]) for i in full])
@@ -118,18 +120,29 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, ro
                 weight[i] = int(sets[i][1].sum())
                 bandings[i] = band[k].view(np.int64)
                 low[i], high[i] = int(bits[k, 0]), int(bits[k, 1])
-                h, at = np.unique(sets[i][0] >> np.uint64(32), return_inverse=True)
-                shingles[i], counts[i] = h.astype(np.uint32).tobytes(), np.bincount(at, sets[i][1]).astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.binary()), pa.array(weight, pa.int64()), pa.array(bandings, pa.list_(pa.int64())), pa.array(shingles, pa.binary()), pa.array(counts, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
-                ["doc_id", "row_key", "node", "weight", "bands", "shingles", "counts", "low", "high"],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.binary()), pa.array(weight, pa.int64()), pa.array(bandings, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
+                ["doc_id", "row_key", "node", "weight", "bands", "low", "high"],
             )
 
     d = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("t"))
-    out = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, row_key string, node binary, weight long, bands array<long>, shingles binary, counts binary, low long, high long")
+    out = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, row_key string, node binary, weight long, bands array<long>, low long, high long")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
+def multisets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles, counts) of rows (node, t) with words: 64-bit hashes in ascending order, and how often each occurs."""
+
+    def run(batches):
+        for batch in in_slices(batches, "t", 4 << 20):
+            sets, _, _ = shingle_multisets(batch.column("t"), width)
+            shingles = pa.array([None if x is None else x[0].tobytes() for x in sets], pa.binary())
+            counts = pa.array([None if x is None else x[1].astype(np.uint32).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), shingles, counts], ["node", "shingles", "counts"])
+
+    return texts.select("node", "t").mapInArrow(run, "node long, shingles binary, counts binary")
+
+
 def agreeing_bits(components_: int, threshold: float) -> int:
     """How many of 128 bits two documents at the threshold share at least: six deviations under what is expected (one
     pair in 10**9 shares fewer). Components that are missing share their bits."""
@@ -155,10 +168,10 @@ def fine_bits(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
-                held = [[np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(c)] for c in ("shingles", "counts")]
+                held = [[np.frombuffer(x.as_buffer(), kind) for x in part.column(c)] for c, kind in (("shingles", np.uint64), ("counts", np.uint32))]
                 owner = np.repeat(np.arange(part.num_rows), [len(x) for x in held[0]])
                 with np.errstate(over="ignore"):
-                    elements = mix64(np.concatenate(held[0]).astype(np.uint64) + GOLDEN)
+                    elements = mix64(np.concatenate(held[0]) + GOLDEN)
                 sig = mix64(signatures(elements, np.concatenate(held[1]).astype(np.int64), owner, part.num_rows, FINE).view(np.uint64))
                 planes = [np.packbits((sig >> np.uint64(k) & np.uint64(1)).astype(bool), axis=1).view(np.int64) for k in (0, 1)]
                 columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in planes for i in range(longs)]
@@ -182,7 +195,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             col = [batch.column(c) for c in ("sa", "ca", "sb", "cb")]
             sims = np.zeros(batch.num_rows)
             for i in range(batch.num_rows):
-                sa, ca, sb, cb = (np.frombuffer(c[i].as_buffer(), np.uint32) for c in col)
+                sa, ca, sb, cb = (np.frombuffer(c[i].as_buffer(), np.uint32 if k % 2 else np.uint64) for k, c in enumerate(col))
                 _, x, y = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
                 both = int(np.minimum(ca[x], cb[y]).sum())
                 sims[i] = both / (int(ca.sum()) + int(cb.sum()) - both)
@@ -223,42 +236,44 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     # of the rows of a node, which have the same sketch, one; from here on its number names the node
     reps = s.join(nodes.select(F.col("head.row").alias("row")), "row", "left_semi").drop("node").withColumnRenamed("row", "node")
     entries = reps.select("node", "weight", "low", "high", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("bucket", "lead")
-    buckets = stored(entries.join(shared, "bucket"), "buckets")
-    # the long columns of nodes that share a bucket, moved once
-    wanted = stored(buckets.select(F.col("node").alias("row")).distinct(), "wanted")
-    sets = stored(s.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "shingles", "counts", "bands"), "sets")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stored(entries.join(shared, "bucket"), "met")
+    # nodes that share a bucket, how central they are, and their multisets, from one of the rows with the node's key
+    wanted = stored(met.groupBy("node").agg(F.sum("size").alias("central")).join(reps.select("node", "row_key"), "node"), "wanted")
+    texts = docs.select(row_key(doc_id, text).alias("row_key"), F.col(text).alias("t")).join(wanted.select("row_key", "node"), "row_key")
+    sets = stored(multisets(texts.dropDuplicates(["row_key"]), width), "sets")
     least = agreeing_bits(bands * rows, threshold)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Pairs of structs a, b that may reach the threshold, by total weight and by one bit of each component."""
-        near = F.least("a.weight", "b.weight") >= F.lit(threshold) * F.greatest("a.weight", "b.weight")
-        same = 128 - F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) - F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
-        return pairs.where(near & (same >= least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-
-    one = lambda: F.struct("node", "weight", "low", "high")
-    leads = buckets.where("node = lead").select("bucket", one().alias("a"))
-    first = close(buckets.where("node != lead").select("bucket", one().alias("b")).join(leads, "bucket"))
-    links = stored(verified(first, sets, threshold), "links")
+    one = lambda: F.struct("central", "node", "weight", "low", "high")
+    buckets = stored(met.drop("size").join(wanted.select("node", "central"), "node").select("bucket", one().alias("p")), "buckets")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Verified links of nodes p with leaders `lead`, each with the most central one that may reach the threshold, by
+        total weight and by one bit of each component."""
+        near = F.least("p.weight", "lead.weight") >= F.lit(threshold) * F.greatest("p.weight", "lead.weight")
+        same = 128 - F.bit_count(F.col("p.low").bitwiseXOR(F.col("lead.low"))) - F.bit_count(F.col("p.high").bitwiseXOR(F.col("lead.high")))
+        best = pairs.where(near & (same >= least)).groupBy(F.col("p.node").alias("b")).agg(F.max(F.struct("lead.central", "lead.node")).alias("x"))
+        return stored(verified(best.select(F.col("x.node").alias("a"), "b"), sets, threshold), "links")
+
+    leads = buckets.groupBy("bucket").agg(F.max("p").alias("lead"))
+    links = compared(buckets.join(leads, "bucket").where("p.node != lead.node"))
     roots = components(links)
 
     # what is left of buckets that hold several classes; the second leader is of another class than the first
-    c = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    x = F.struct("root", *(F.col(n) for n in ("node", "weight", "low", "high")))
-    several = c.groupBy("bucket").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.max(F.when(F.col("node") == F.col("lead"), F.col("root"))).alias("lead_root")).where("least.root != most.root")
-    second = F.when(F.col("least.root") != F.col("lead_root"), F.col("least")).otherwise(F.col("most"))
-    mixed = stored(c.join(several.select("bucket", second.alias("second")), "bucket"), "mixed")
-    more = close(mixed.where("node != second.node and node != lead and root != second.root").select(F.col("second").alias("a"), one().alias("b")))
-    again = stored(verified(more, sets, threshold), "links")
+    c = buckets.join(roots.select(F.col("node").alias("_node"), "root"), F.col("p.node") == F.col("_node"), "left").select("bucket", "p", F.coalesce("root", "p.node").alias("root"))
+    several = c.groupBy("bucket").agg(F.max(F.struct("p", "root")).alias("x"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket", F.col("x.p").alias("lead"), F.col("x.root").alias("lead_root"))
+    mixed = c.join(several, "bucket")
+    other = mixed.where("root != lead_root").groupBy("bucket").agg(F.max(F.struct("p", "root")).alias("second"))
+    mixed = stored(mixed.join(other, "bucket").select("bucket", "p", "root", F.col("second.p").alias("lead"), F.col("second.root").alias("second_root")), "mixed")
+    again = compared(mixed.where("root != second_root"))
     if again.limit(1).count():
         links = stored(links.unionByName(again).distinct(), "links")
         roots = components(links)
-    # pairs in a bucket that no leader has covered and whose classes, by all links so far, still differ
-    now = mixed.where("node != second.node and node != lead").drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # pairs in a bucket whose classes, by all links so far, still differ
+    now = mixed.select("bucket", "p.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = now.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("bucket")
     left = stored(now.join(apart, "bucket").select("bucket", "root", *(F.col(n) for n in ("node", "weight", "low", "high"))), "left")
     some = left.select("node").distinct()
-    fine = fine_bits(sets.select("node", "shingles", "counts").join(some, "node", "left_semi")).join(sets.select("node", "bands"), "node")
+    fine = fine_bits(sets.join(some, "node", "left_semi")).join(reps.select("node", "bands"), "node")
     rest = left.join(stored(fine, "fine"), "node").select("bucket", "root", F.struct("node", "weight", "low", "high", "fine", "bands").alias("p"))
     y = rest.select(F.col("bucket").alias("bucket_b"), F.col("root").alias("root_b"), F.col("p").alias("b"))
     near = F.expr("least(p.weight, b.weight) >= " + repr(float(threshold)) + " * greatest(p.weight, b.weight)")

@@ -183,8 +183,25 @@ def test_classes_of_a_star_of_edits(spark):
     assert {r["doc_id"]: r["class_id"] for r in members.collect()} == want
 
 
+def test_classes_of_a_group_around_a_centre(spark):
+    """Copies with 0 to 12 of 40 words changed, many at the threshold from one another: a centre that most links go
+    through, classes of their own, and exact copies."""
+    rng = np.random.default_rng(6)
+    centre = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(240):
+        at = set((4 * rng.choice(40, rng.binomial(14, 0.3), replace=False)).tolist())
+        rows.append((i, " ".join(f"e{rng.integers(3)}" if j in at else w for j, w in enumerate(centre))))
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 20
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == want
+    assert links.count() <= 3 * len(rows)
+
+
 def test_longer_signatures_keep_pairs_at_the_threshold(spark):
-    sets = [(i, np.arange(20 * i, 20 * i + 180, dtype=np.uint32).tobytes(), np.ones(180, np.uint32).tobytes()) for i in range(2)]
+    sets = [(i, np.arange(20 * i, 20 * i + 180, dtype=np.uint64).tobytes(), np.ones(180, np.uint32).tobytes()) for i in range(2)]
     fine = neardup.fine_bits(spark.createDataFrame(sets, "node long, shingles binary, counts binary"))
     a, b = (fine.where(F.col("node") == k).select(F.col("fine").alias(n)) for k, n in ((0, "a"), (1, "b")))
     agree = a.crossJoin(b).selectExpr(neardup.fine_agreement("a", "b")).first()[0]
