@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,7 +56,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def split_words(c: Column) -> Column:
-    """Words of a text whose A-Z are lower-cased already; null: none."""
+    """Words of a text, as they are written; null: none."""
     return F.coalesce(F.array_remove(F.split(c, WORD_BREAK, -1), ""), F.array().cast("array<string>"))
 
 

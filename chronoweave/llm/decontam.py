@@ -50,74 +50,80 @@ def _context(words: Column, at: Column, before: int, after: int) -> Column:
     return F.transform(F.sequence(F.lit(-before), F.lit(after - 1)), lambda j: F.when(at + j >= 0, F.get(words, F.greatest(at + j, F.lit(0)))))
 
 
-def fingerprints(docs: DataFrame, lengths: list[int], k: int = 8, w: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row_key, n_words, marks): the winnowed hashes of each document, and the hashes of its runs of each of `lengths` words."""
-    marks = lambda x: F.struct(F.size(x).cast("long").alias("n"), F.concat(_winnow(_grams(x, k), w), *(F.array_distinct(_grams(x, n)) for n in lengths)).alias("m"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), bind(split_words(F.lower(text)), marks).alias("f"))
+def fingerprints(docs: DataFrame, k: int = 8, w: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row_key, n_words, marks): the winnowed hashes of each document."""
+    marks = lambda x: F.struct(F.size(x).cast("long").alias("n"), _winnow(_grams(x, k), w).alias("m"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), bind(folded(split_words(F.col(text))), marks).alias("f"))
     return d.select("doc_id", "row_key", F.col("f.n").alias("n_words"), F.col("f.m").alias("marks"))
 
 
+def folded(words: Column) -> Column:
+    """Words for hashing, each lower-cased by itself: what becomes of a letter does not depend on other words, so words
+    that agree after A-Z are lower-cased have the same hash. The exact comparison comes after."""
+    return F.transform(words, lambda x: F.lower(x))
+
+
+def _text_of(words: Column) -> Column:
+    """Words as one string, missing ones as empty (no word is empty)."""
+    return F.array_join(words, " ", "")
+
+
 def hits(docs: DataFrame, items: DataFrame, k: int = 8, w: int = 6, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(found, documents). found: occurrences of item windows: (row_key, item_id, start, end), in words, end exclusive,
-    distinct. documents: fingerprints(), stored.
+    """(found, documents). found: places of documents where an item window occurs: (row_key, start, end, items), in
+    words, end exclusive, distinct; `items` are the ids, as strings, of the items that have the window. documents:
+    fingerprints(), stored.
 
     `row_key` is common.row_key(doc_id, text): equal rows have equal hits. Null texts and items without words have no
-    windows; items whose id is null are left out.
+    windows; items whose id is null are left out. Surroundings of words are compared once for each distinct pair of
+    them, however often a text repeats itself.
     """
     span = w + k - 1
     d = docs.select(row_key(doc_id, text).alias("row_key"), F.col(text).alias("t")).where("t is not null")
-    b = (
-        items.where(F.col(item_id).isNotNull())
-        .select(F.col(item_id).alias("item_id"), split_words(ascii_lower(F.col(item_text))).alias("words"))
-        .where(F.size("words") > 0)
-        .distinct()
-        # a full lower-casing meets whatever A-Z lower-casing does; the exact comparison comes after
-        .withColumn("folded", F.transform("words", lambda x: F.lower(x)))
-    )
+    b = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), split_words(ascii_lower(F.col(item_text))).alias("words")).where(F.size("words") > 0).distinct()
     long_items, short_items = b.where(F.size("words") >= span), b.where(F.size("words") < span)
     # at most span - 1 lengths
     lengths = sorted(r[0] for r in short_items.select(F.size("words")).distinct().collect())
 
-    fps = (
-        long_items.withColumn("grams", _grams(F.col("folded"), k))
-        .withColumn("keep", _winnow(F.col("grams"), w))
-        .select("item_id", "words", "keep", F.posexplode("grams").alias("q", "h"))
-        .where(F.array_contains("keep", F.col("h")))
-        .select("item_id", "h", _context(F.col("words"), F.col("q"), w - 1, span).alias("theirs"), F.lit(0).alias("len"))
-    )
-    if lengths:
-        whole = [short_items.where(F.size("words") == n).select("item_id", F.get(_grams(F.col("folded"), n), F.lit(0)).alias("h"), F.col("words").alias("theirs"), F.lit(n).alias("len")) for n in lengths]
-        for x in whole:
-            fps = fps.unionByName(x)
-
-    documents = stored(fingerprints(docs, lengths, k, w, doc_id, text), "fingerprints")
-    met = (
-        documents.select("row_key", F.explode("marks").alias("h"))
-        .join(fps.select("h").distinct(), "h", "left_semi")
-        .groupBy("row_key")
-        .agg(F.collect_set("h").alias("met"))
-    )
-    found = d.join(met, "row_key").dropDuplicates(["row_key"]).select("row_key", "met", split_words(ascii_lower(F.col("t"))).alias("words")).withColumn("folded", F.transform("words", lambda x: F.lower(x)))
-
-    def places(n: int, before: int, after: int, length: int) -> DataFrame:
-        return (
-            found.withColumn("grams", _grams(F.col("folded"), n))
-            .withColumn("at", F.filter(F.transform("grams", lambda x, i: F.when(F.array_contains("met", x), F.struct(i.alias("p"), x.alias("h")))), lambda s: s.isNotNull()))
-            .select("row_key", "words", F.explode("at").alias("at"))
-            .select("row_key", F.lit(length).alias("len"), F.col("at.h").alias("h"), F.col("at.p").alias("p"), _context(F.col("words"), F.col("at.p"), before, after).alias("ours"))
-        )
-
-    out = None
-    for n in [0, *lengths]:
-        p = places(n or k, 0 if n else w - 1, n or span, n)
-        j = p.join(fps.where(F.col("len") == n).drop("len"), "h")
-        if n:
-            one = j.where(F.col("ours") == F.col("theirs")).select("row_key", "item_id", F.col("p").alias("start"), (F.col("p") + n).alias("end"))
-        else:
-            whole = lambda i: F.forall(F.sequence(i, i + span - 1), lambda m: F.coalesce(F.get("ours", m) == F.get("theirs", m), F.lit(False)))
-            ok = F.filter(F.sequence(F.lit(0), F.lit(w - 1)), whole)
-            one = j.select("row_key", "item_id", "p", F.explode(ok).alias("i")).select("row_key", "item_id", (F.col("p") - (w - 1) + F.col("i")).alias("start"), (F.col("p") - (w - 1) + F.col("i") + span).alias("end"))
-        out = one if out is None else out.unionByName(one)
+    def marked(x: DataFrame, key: str, kept: str, before: int, after: int) -> DataFrame:
+        """(key, p, h, around): the places whose gram is one of `kept`, and the words around them. What is made for a
+        place is made before rows are, so no row carries a whole text along."""
+        here = lambda h, i: F.when(F.array_contains(kept, h), F.struct(i.alias("p"), h.alias("h"), _text_of(_context(F.col("words"), i, before, after)).alias("around")))
+        return x.select(key, F.explode(F.filter(F.transform("grams", here), lambda s: s.isNotNull())).alias("at")).select(key, "at.*")
+
+    fps = long_items.withColumn("grams", _grams(folded(F.col("words")), k)).withColumn("keep", _winnow(F.col("grams"), w))
+    fps = marked(fps, "item", "keep", w - 1, span).select("item", F.lit(0).alias("len"), "h", F.col("around").alias("theirs"))
+    for n in lengths:
+        fps = fps.unionByName(short_items.where(F.size("words") == n).select("item", F.lit(n).alias("len"), F.get(_grams(folded(F.col("words")), n), F.lit(0)).alias("h"), _text_of(F.col("words")).alias("theirs")))
+    fps = stored(fps.groupBy("len", "h", "theirs").agg(F.array_sort(F.collect_set("item")).alias("items")), "item-marks")
+
+    documents = stored(fingerprints(docs, k, w, doc_id, text), "fingerprints")
+    marks = documents.select("row_key", F.explode("marks").alias("h")).join(fps.where("len = 0").select("h").distinct(), "h", "left_semi")
+    if lengths:  # runs of words as long as a short item: looked up as they are made, never stored
+        runs = lambda x: F.concat(*(F.array_distinct(_grams(x, n)) for n in lengths))
+        short = d.select("row_key", F.explode(bind(folded(split_words(F.col("t"))), runs)).alias("h"))
+        marks = marks.unionByName(short.join(fps.where("len > 0").select("h").distinct(), "h", "left_semi").select("row_key", "h"))
+    met = marks.groupBy("row_key").agg(F.collect_set("h").alias("met"))
+    found = d.join(met, "row_key").dropDuplicates(["row_key"]).select("row_key", "met", split_words(ascii_lower(F.col("t"))).alias("words"))
+
+    def places(n: int) -> DataFrame:
+        """(row_key, len, h, p, ours): where a run of n words (0: k words) has a hash that met, and the words around it."""
+        size, before, after = n or k, 0 if n else w - 1, n or span
+        x = marked(found.withColumn("grams", _grams(folded(F.col("words")), size)), "row_key", "met", before, after)
+        return x.select("row_key", F.lit(n).alias("len"), "h", "p", F.col("around").alias("ours"))
+
+    where = places(0)
+    for n in lengths:
+        where = where.unionByName(places(n))
+    where = stored(where, "places")
+    alike = where.select("len", "h", "ours").distinct().join(fps, ["len", "h"])
+    one = alike.where("len > 0 and ours = theirs").select("len", "h", "ours", F.lit(0).alias("i"), F.col("len").alias("n"), "items")
+    words = F.struct(F.split("ours", " ").alias("a"), F.split("theirs", " ").alias("b"))
+    same = lambda i: F.forall(F.sequence(i, i + span - 1), lambda m: (F.get("x.a", m) == F.get("x.b", m)) & (F.get("x.a", m) != ""))
+    several = alike.where("len = 0").withColumn("x", words).select("len", "h", "ours", F.explode(F.filter(F.sequence(F.lit(0), F.lit(w - 1)), same)).alias("i"), "items")
+    several = several.select("len", "h", "ours", (F.col("i") - (w - 1)).alias("i"), F.lit(span).alias("n"), "items")
+    # of equal surroundings the windows and the items that have them
+    ok = one.unionByName(several).groupBy("len", "h", "ours", "i", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = where.join(ok, ["len", "h", "ours"]).select("row_key", (F.col("p") + F.col("i")).alias("start"), (F.col("p") + F.col("i") + F.col("n")).alias("end"), "items")
     return out.distinct(), documents
 
 
@@ -128,6 +134,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20, doc_id: st
     no hits; rows that repeat get a row each; a null doc_id is kept; other columns are not read; without items nothing is hit.
     """
     found, documents = hits(docs, items, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, **how)
+    found = stored(found, "found")
     order = Window.partitionBy("row_key").orderBy("start", "end")
     covered = (
         found.select("row_key", "start", "end")
@@ -136,7 +143,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20, doc_id: st
         .groupBy("row_key")
         .agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("long").alias("n_hit"))
     )
-    named = found.groupBy("row_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    named = found.select("row_key", "items").distinct().select("row_key", F.explode("items").alias("item")).groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = documents.drop("marks").join(covered.join(named, "row_key"), "row_key", "left").fillna({"n_hit": 0})
     return out.select(
         "doc_id", "row_key", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")

@@ -7,12 +7,11 @@ sees the points at levels up to its weight; a component is the earliest point se
 component with a probability of exactly their weighted Jaccard similarity.
 
 Documents with the same words are one node. Bands of the signature make buckets. A node is the more central the larger
-its buckets are: copies close to what a group was copied from share their values with most of the group. A bucket's
-leader is its most central node, and each node is compared with the most central leader of its buckets; in buckets that
-then hold several classes, with the most central node of another class than the leader's. So a round has one pair a
-node at most. Whatever pairs of different classes are left in a bucket are compared too, so no bucket is capped: they
-have to pass longer signatures (FINE components, two bits of each), made for these nodes alone, and count in the first
-bucket that they share. A pair whose signatures differ too much for the threshold (one bit of each component, six
+its buckets are: copies close to what a group was copied from share their values with most of the group. In each bucket
+all nodes are compared with the most central one, which is much the same node in all buckets of a group; in buckets that
+then hold several classes, with the most central node of another class. Whatever pairs of different classes are left
+in a bucket are compared too, so no bucket is capped: they have to pass longer signatures (FINE components, two bits of
+each), made for these nodes alone, and count in the first bucket that they share. A pair whose signatures differ too much for the threshold (one bit of each component, six
 deviations) is not looked up; every other pair is verified on the multisets of 64-bit shingle hashes.
 """
 
@@ -247,12 +246,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     buckets = stored(met.drop("size").join(wanted.select("node", "central"), "node").select("bucket", one().alias("p")), "buckets")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Verified links of nodes p with leaders `lead`, each with the most central one that may reach the threshold, by
-        total weight and by one bit of each component."""
+        """Verified links of nodes p with leaders `lead` that may reach the threshold, by total weight and by one bit of
+        each component."""
         near = F.least("p.weight", "lead.weight") >= F.lit(threshold) * F.greatest("p.weight", "lead.weight")
         same = 128 - F.bit_count(F.col("p.low").bitwiseXOR(F.col("lead.low"))) - F.bit_count(F.col("p.high").bitwiseXOR(F.col("lead.high")))
-        best = pairs.where(near & (same >= least)).groupBy(F.col("p.node").alias("b")).agg(F.max(F.struct("lead.central", "lead.node")).alias("x"))
-        return stored(verified(best.select(F.col("x.node").alias("a"), "b"), sets, threshold), "links")
+        close = pairs.where(near & (same >= least)).select(F.col("lead.node").alias("a"), F.col("p.node").alias("b")).distinct()
+        return stored(verified(close, sets, threshold), "links")
 
     leads = buckets.groupBy("bucket").agg(F.max("p").alias("lead"))
     links = compared(buckets.join(leads, "bucket").where("p.node != lead.node"))
@@ -263,13 +262,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     several = c.groupBy("bucket").agg(F.max(F.struct("p", "root")).alias("x"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket", F.col("x.p").alias("lead"), F.col("x.root").alias("lead_root"))
     mixed = c.join(several, "bucket")
     other = mixed.where("root != lead_root").groupBy("bucket").agg(F.max(F.struct("p", "root")).alias("second"))
-    mixed = stored(mixed.join(other, "bucket").select("bucket", "p", "root", F.col("second.p").alias("lead"), F.col("second.root").alias("second_root")), "mixed")
-    again = compared(mixed.where("root != second_root"))
+    mixed = stored(mixed.join(other, "bucket").select("bucket", "p", "root", F.col("lead.node").alias("first"), F.col("second.p").alias("lead"), F.col("second.root").alias("second_root")), "mixed")
+    again = compared(mixed.where("root != second_root and p.node != first"))
     if again.limit(1).count():
         links = stored(links.unionByName(again).distinct(), "links")
         roots = components(links)
-    # pairs in a bucket whose classes, by all links so far, still differ
-    now = mixed.select("bucket", "p.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # pairs in a bucket that no leader has covered and whose classes, by all links so far, still differ
+    now = mixed.where("p.node != first and p.node != lead.node").select("bucket", "p.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = now.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("bucket")
     left = stored(now.join(apart, "bucket").select("bucket", "root", *(F.col(n) for n in ("node", "weight", "low", "high"))), "left")
     some = left.select("node").distinct()

@@ -42,14 +42,15 @@ def items(spark):
     return spark.createDataFrame(parts, "item_id long, text string")
 
 
-def test_decontam(spark, docs, empty):
+def check_decontam(docs, items):
+    """Against every window of every item, looked for at every place."""
     wins = {}
-    for i, t in [tuple(r) for r in items(spark).collect()]:
+    for i, t in [tuple(r) for r in items.collect()]:
         w = words(t)
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n and i is not None else 0):
             wins.setdefault(tuple(w[k : k + n]), set()).add(str(i))
-    got = decontam.decontaminate(docs, items(spark)).collect()
+    got = decontam.decontaminate(docs, items).collect()
     assert len(got) == docs.count()
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in got:
@@ -61,11 +62,34 @@ def test_decontam(spark, docs, empty):
                     its |= wins[tuple(w[k : k + n])]
         assert (r["n_words"], r["n_hit"], list(r["items"])) == (len(w), len(hit), sorted(its)), r["doc_id"]
         assert r["contaminated"] == (bool(hit) and 20 * len(hit) >= len(w))
+    return {r["doc_id"]: r["n_hit"] for r in got}
+
+
+def test_decontam(spark, docs, empty):
+    check_decontam(docs, items(spark))
     assert decontam.clean(docs, items(spark)).columns == docs.columns
     assert decontam.decontaminate(empty, items(spark)).count() == 0
     assert decontam.decontaminate(docs, items(spark).limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontam_of_odd_letters(spark):
+    """Letters whose lower case depends on what follows, or is of another length or ASCII; items of every length."""
+    odd = ["\u0391\u0392\u03a3.\u0391\u0393 " * 20, "\u0391.\u03a3. \u03a3\u03a3 x\u03a3 " * 15, "\u0130stanbul I\u0307 \u0131 \u212aelvin K k " * 9, "Stra\u00dfe \u1e9e SS \u01c5 " * 8]
+    base = " ".join(f"w{i} \u03a3{i}\u03a3" for i in range(30))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, *(t.lower() for t in odd), base, base.upper(), "la " * 50])], "doc_id long, text string")
+    marked = [(i, t) for i, t in enumerate(odd)] + [(100 + n, " ".join(base.split()[5 : 5 + n])) for n in range(1, 16)]
+    got = check_decontam(docs, spark.createDataFrame(marked, "item_id long, text string"))
+    assert all(got[i] == len(words(t)) for i, t in enumerate(odd)) and got[8] > 13 and got[10] == 0
+
+
+def test_decontam_of_repeated_words(spark):
+    """A text of one word 20,000 times against an item of the same, many times over."""
+    docs = spark.createDataFrame([(i, "la " * 20_000) for i in range(3)] + [(9, "la " * 12)], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, "la " * (13 + 400 * i)) for i in range(20)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], len(r["items"])) for r in decontam.decontaminate(docs, marked).collect()}
+    assert got == {0: (20_000, 20), 1: (20_000, 20), 2: (20_000, 20), 9: (0, 0)}
+
+
 def test_shards(docs, empty):
     got = hilbert.shard(docs, 5).toPandas()
     assert len(got) == docs.count()
