@@ -11,6 +11,7 @@ n_ids, checkpoints, payload): Parquet gives atomic writes and any store that Spa
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -33,7 +34,8 @@ def _default_path() -> str:
 
 
 class PieceCache(dict):
-    """Ids of pieces of text between blanks, as bytes. The tokenizer drops white space and never joins across it.
+    """Ids of pieces of text between blanks, as bytes. The tokenizer drops white space and never joins across it, but for
+    its added tokens (<|endoftext|> and the like, in any case): a text that may hold one is encoded whole.
 
     Holds `most` pieces at most; longer pieces are not kept."""
 
@@ -41,7 +43,8 @@ class PieceCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self[""] = b""
 
     def __missing__(self, piece: str) -> bytes:
@@ -50,7 +53,7 @@ class PieceCache(dict):
         elif len(head := piece.rstrip(".,")) < len(piece) and head.isascii() and head.isalpha():
             out = self[head] + self[piece[len(head) :]]
         else:
-            out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+            out = self.whole(piece)
         if len(self) >= self.most:
             self.clear()
             self[""] = b""
@@ -58,7 +61,12 @@ class PieceCache(dict):
             self[piece] = out
         return out
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
     def encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.whole(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -169,7 +177,8 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray,
 
 
 def write(docs: DataFrame, to: str, dtype: str = "<u2", limit: int = LIMIT, block_ids: int = BLOCK_IDS, **how) -> None:
-    """Writes the documents' ids to the path `to`. A document stays in one block; rows whose id is null come first."""
+    """Writes the documents' ids to the path `to`. A document stays in one block; rows whose id is null come first, rows
+    with the same id follow one another in the order of a hash of their ids, then of the ids."""
     spark = docs.sparkSession
     small_batches(spark)
     ids = stored(token_ids(docs, dtype=dtype, **how), "ids")
@@ -182,15 +191,15 @@ def write(docs: DataFrame, to: str, dtype: str = "<u2", limit: int = LIMIT, bloc
         symbols, lengths = sent.value
         codes, bits = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.uint64), np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int64)
         codes[symbols], bits[symbols] = canonical(symbols, lengths), lengths
-        before, part, names, lens, held = 0, 0, [], [], []
+        before, part, names, lens, held, n = 0, 0, [], [], [], 0
 
         def block():
-            nonlocal before, names, lens, held
+            nonlocal before, names, lens, held, n
             x = np.concatenate(held).astype(np.int64)
             payload, offsets = pack(codes[x], bits[x])
             row = [[part], [before], [names], [lens], [len(x)], [offsets], [payload]]
             kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            before, names, lens, held = before + len(x), [], [], []
+            before, names, lens, held, n = before + len(x), [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "ids_before", "doc_ids", "lens", "n_ids", "checkpoints", "payload"])
 
         for batch in batches:
@@ -198,12 +207,14 @@ def write(docs: DataFrame, to: str, dtype: str = "<u2", limit: int = LIMIT, bloc
                 part = p
                 x = np.frombuffer(x.as_buffer(), dtype)
                 names.append(name), lens.append(len(x)), held.append(x)
-                if sum(lens) >= block_ids:
+                n += len(x)
+                if n >= block_ids:
                     yield block()
         if held:
             yield block()
 
-    placed = ids.repartitionByRange(2 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    keyed = ids.withColumn("_h", F.xxhash64("ids"))  # many rows of one id are more than one task's
+    placed = keyed.repartitionByRange(2 * shuffle_partitions(spark), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "ids").drop("_h").withColumn("part", F.spark_partition_id())
     placed.mapInArrow(run, "part int, ids_before long, doc_ids array<long>, lens array<long>, n_ids long, checkpoints array<long>, payload binary").write.parquet(f"{to}/blocks")
 
 

@@ -276,12 +276,13 @@ def test_codes():
     assert sorted(skewed.tolist()) == [1, 2, 3, 4, 5, 5]
 
 
-def test_tokens(docs, empty):
+def test_tokens(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))  # as it is loaded
+    special = [(50 + i, t, *[None] * 7) for i, t in enumerate(["a<|endoftext|>b", "A <|ENDOFTEXT|> <|startoftext|>x", "<|endoftext |> <|StartOfText|>"])]
+    docs = docs.unionByName(spark.createDataFrame(special, SCHEMA))
     at = 0
     rows = sorted(((r["doc_id"] is not None, r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0], x[1] or 0))
     got = sorted(map(tuple, codec.round_trip(docs).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
@@ -290,6 +291,10 @@ def test_tokens(docs, empty):
         assert g == (at, i, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert codec.round_trip(empty).count() == 0
+    # texts with the same id: the same order from other partitions
+    ties = spark.createDataFrame([(i % 2 or None, f"text {i} " * (i + 1)) for i in range(40)], "doc_id long, text string")
+    one, two = (sorted(map(tuple, codec.round_trip(ties.repartition(n)).select("start", "n_tokens", "ids_crc32").collect())) for n in (1, 7))
+    assert one == two and [a + n for a, n, _ in one[:-1]] == [a for a, _, _ in one[1:]]
 
 
 def test_pieces_are_whole_texts():
