@@ -51,7 +51,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.per_document(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
     count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return d.select("doc_id", *(count(k) for k in pii.KINDS[:4]), F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    # beside the base spans the method's own decision: how many spans of any kind it found, secrets among them
+    found, secrets = F.size("spans").cast("long"), F.size(F.filter("spans", lambda x: x["kind"] == "secret")).cast("long")
+    return d.select("doc_id", *(count(k) for k in pii.KINDS[:4]), secrets.alias("n_secret"), found.alias("n_found"), (found > 0).alias("has_personal_data"), F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
 def queries() -> dict:

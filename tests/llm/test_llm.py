@@ -413,3 +413,30 @@ def test_recall():
     cos[np.arange(len(q)), q] = -9
     top, by = np.argsort(-cos, 1)[:, :5], np.argsort(-p[q], 1)[:, :12]
     assert np.mean([(own[t][:, None] == b).any(1).mean() for t, b in zip(top, by)]) >= 0.9
+
+
+def test_personal_data_in_long_lists(spark):
+    """A text of 20,000 mail addresses, and proposals beside base spans."""
+    many = " ".join(f"user{i}@mail.example.com" for i in range(20_000))
+    got = pii.per_document(spark.createDataFrame([(1, many), (2, "nothing")], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n"], r["first"], r["last"]) for r in got.select("doc_id", F.size("spans").alias("n"), F.get("spans", F.lit(0))["end"].alias("first"), F.element_at(F.when(F.size("spans") > 0, F.col("spans")), -1)["end"].alias("last")).collect()}
+    assert got == {1: (20_000, len("user0@mail.example.com"), len(many)), 2: (0, None, None)}
+
+
+def test_personal_data_proposals(spark):
+    """Secrets, written-out mail addresses and short cards among plain texts: recall and precision of what is proposed."""
+    rng = np.random.default_rng(8)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows, planted = [], set()
+    for i in range(400):
+        t = " ".join(f"word{rng.integers(99)}" for _ in range(30))
+        if i % 4 == 0:
+            t, _ = f'{t} token = "{hexes(40)}" and', planted.add(i)
+        elif i % 4 == 1:
+            t, _ = f"{t} contact joe{i} [at] mail.example.com now", planted.add(i)
+        elif i % 4 == 2:
+            t += f" see an-ordinary-hyphenated-phrase-without-any-digit and a_long_identifier_of_some_code {i}"
+        rows.append((i, t))
+    found = pii.per_document(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("spans") > 0)
+    got = {r["doc_id"] for r in found.select("doc_id").collect()}
+    assert len(got & planted) >= 0.95 * len(planted) and len(got - planted) <= 0.02 * len(rows)
