@@ -236,7 +236,9 @@ def per_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     # a text's spans are fewer than its characters; each looks at what has come so far and at the next base span
     order = Window.partitionBy("row_key").orderBy("start", ~F.col("base"), "rank", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    next_base = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # the same order from the end: a frame that grows row by row, unlike one that shrinks
+    back = Window.partitionBy("row_key").orderBy(F.desc("start"), "base", F.desc("rank"), F.desc("end"))
+    next_base = F.min(F.when(F.col("base"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     free = F.coalesce(reached <= F.col("start"), F.lit(True)) & F.coalesce(next_base >= F.col("end"), F.lit(True))
     found = found.withColumn("rank", rank).withColumn("free", F.col("base") | free).where("free")
     grouped = found.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("rank", "start", "end", "kind", "base"))).alias("spans"))
