@@ -4,27 +4,30 @@ A target model (documents labelled as good) and a background model (all document
 vocabulary, smoothed in the same way. A document's score is its loss per token under the target model minus that
 under the background model: the lower, the closer to the target.
 
-Every word that occurs `LEAST` times has statistics of its own, however large the corpus; the others share one entry.
-Words that make up at least one in `VOCABULARY` of all tokens have an id, which every executor knows (there can be no
-more than `VOCABULARY` of them); the code of another word is its hash with the sign bit set, and its counts stay in a
-table that grows with the corpus, as bigram counts do. Bigrams of words with ids that make up at least one in
-`FREQUENT` of all are sent to every executor too and scored where the document is read; the rest are joined.
+Every word has statistics of its own, however rare and however large the corpus. Words that make up at least one in
+`VOCABULARY` of all tokens have an id, which every executor knows (there can be no more than `VOCABULARY` of them). The
+code of another word is its hash with the sign bit set; each of its occurrences is moved once, with the words before and
+after it, to where all its occurrences meet (fewer than one in `VOCABULARY` of all tokens), and its counts, those of the
+bigrams with it, and its share of each document's score come from there. Bigrams of words with ids are counted and
+joined; those that make up at least one in `FREQUENT` of all are sent to every executor and scored where the document is
+read. A bigram's loss is a term of the bigram and its second word plus a term of its first word alone, so the two can be
+found in different places.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, word_hashes
-from .common import small_batches, stored
+from .common import shuffle_partitions, small_batches, stored
 
 VOCABULARY = 1 << 20
 FREQUENT = 1 << 21
-LEAST = 2
 SIGN = np.uint64(1 << 63)
+SIDES = ("context_b", "context_t", "word_b", "word_t")
 
 
 def _arrays(df: DataFrame, *cols: str) -> list[np.ndarray]:
@@ -32,32 +35,31 @@ def _arrays(df: DataFrame, *cols: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy() for c in cols]
 
 
-def _slices(batches, column: str, most: int = 16 << 20):
+def _slices(batches, most: int = 2 << 20):
+    """The batches of coded texts, cut so that each has about `most` tokens at most; a longer text stands alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            yield batch.slice(at, 4096)
+        ends = np.cumsum(batch.column("n_tokens").to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
-def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> tuple[np.ndarray, DataFrame]:
-    """Hashes of the words that make up at least one in `size` of all tokens (and occur `LEAST` times), ascending: `size` at
-    most. And (in_row, once): for rows by a hash of theirs, codes of words that occur less than `LEAST` times in all.
-
-    A word below `LEAST` = 2 is in one row; rows whose hashes are the same share a list, which holds no other words."""
+def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> tuple[np.ndarray, int, int]:
+    """Hashes of the words that make up at least one in `size` of all tokens, ascending (`size` at most); how many tokens
+    there are, and how many different words."""
 
     def run(batches):
         for batch in in_slices(batches, "t"):
-            words, offsets = word_hashes(batch.column("t"))
-            h, at, n = np.unique(words, return_index=True, return_counts=True)
-            owner = np.searchsorted(offsets, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), batch.column("in_row").take(pa.array(owner))], ["h", "n", "in_row"])
+            h, n = np.unique(word_hashes(batch.column("t"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    found = docs.select(F.col(text).alias("t"), "in_row").mapInArrow(run, "h long, n long, in_row long")
-    counts = stored(found.groupBy("h").agg(F.sum("n").alias("n"), F.min("in_row").alias("in_row")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    (h,) = _arrays(counts.where((F.col("n") >= LEAST) & (F.col("n") * size >= total)), "h")
-    code = F.col("h").bitwiseOR(F.lit(-(1 << 63)))
-    once = counts.where(F.col("n") < LEAST).groupBy("in_row").agg(F.collect_list(code).alias("once"))
-    return np.sort(h.astype(np.int64).view(np.uint64)), once
+    counts = stored(docs.select(F.col(text).alias("t")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    types, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    (h,) = _arrays(counts.where(F.col("n") * size >= total), "h")
+    return np.sort(h.astype(np.int64).view(np.uint64)), total, types
 
 
 def score(docs: DataFrame, labels: DataFrame, strength: float = 100.0, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality") -> DataFrame:
@@ -69,127 +71,125 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 100.0, doc_id: s
     """
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("in_row"))
-    vocab, once = vocabulary(d, "t")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    vocab, total, types = vocabulary(d, "t")
     words = spark.sparkContext.broadcast(vocab)  # VOCABULARY at most
-    v = len(vocab) + 2  # 0: words below LEAST; 1 ..: the vocabulary; v - 1: start of a document
+    v = len(vocab) + 1  # 0 ..: the vocabulary; v - 1: start of a document; v: its end
 
     def to_ids(batches):
         known = words.value
         for batch in in_slices(batches, "t"):
             h, offsets = word_hashes(batch.column("t"))
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            ids = np.where(known[at] == h, at + 1, -1).astype(np.int32) if len(known) else np.full(len(h), -1, np.int32)
+            ids = np.where(known[at] == h, at, -1).astype(np.int32) if len(known) else np.full(len(h), -1, np.int32)
             cuts = list(zip(offsets[:-1], offsets[1:]))
             rare = [(h[a:b][ids[a:b] < 0] | SIGN).tobytes() for a, b in cuts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("in_row"), pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(rare, pa.binary())], ["doc_id", "in_row", "ids", "rare"])
-
-    def without_once(batches):
-        """Words below LEAST get id 0 and leave `rare`."""
-        for batch in _slices(batches, "ids"):
-            out, left = [], []
-            for ids, rare, gone in zip(batch.column("ids"), batch.column("rare"), batch.column("once")):
-                ids, rare = np.frombuffer(ids.as_py(), np.int32).copy(), np.frombuffer(rare.as_py(), np.int64)
-                if gone.is_valid:
-                    is_gone = np.isin(rare, gone.values.to_numpy())
-                    ids[np.flatnonzero(ids < 0)[is_gone]] = 0
-                    rare = rare[~is_gone]
-                out.append(ids.tobytes()), left.append(rare.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(left, pa.binary())], ["doc_id", "ids", "rare"])
-
-    kind = dict(d.dtypes)["doc_id"]
+            columns = [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(rare, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "rare"])
+
     target = labels.where((F.col(good) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    coded = d.mapInArrow(to_ids, f"doc_id {kind}, in_row long, ids binary, rare binary").join(once, "in_row", "left")
-    coded = coded.mapInArrow(without_once, f"doc_id {kind}, ids binary, rare binary").join(target, "doc_id", "left")
-    coded = stored(coded.select("doc_id", "ids", "rare", F.coalesce("good", F.lit(False)).alias("good"), F.monotonically_increasing_id().alias("row")), "coded")
-
-    def grams_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(c, w, owner): codes of context and word of each bigram, and which row of the batch it is in."""
-        ids = [np.frombuffer(x.as_py(), np.int32) for x in batch.column("ids")]
-        owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        w = np.concatenate(ids).astype(np.int64)
-        w[w < 0] = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in batch.column("rare")])
-        c = np.concatenate(([v - 1], w[:-1])) if len(w) else w
-        c[np.flatnonzero(np.diff(owner)) + 1] = v - 1
-        return c, w, owner
+    coded = d.mapInArrow(to_ids, f"doc_id {dict(d.dtypes)['doc_id']}, n_tokens long, ids binary, rare binary").join(target, "doc_id", "left")
+    coded = stored(coded.select("doc_id", "n_tokens", "ids", "rare", F.coalesce("good", F.lit(False)).alias("good"), F.monotonically_increasing_id().alias("row")), "coded")
+    texts = coded.select("n_tokens", "ids", "rare", "good", "row")
+
+    def tokens(batch, codes: bool = False) -> tuple[np.ndarray, ...]:
+        """(w, c, q, owner, good): each token's id (rare: -1, or its code), the one before and the one after it, which
+        row of the batch it is in, and whether that is in the target."""
+        n = batch.column("n_tokens").to_numpy()
+        owner = np.repeat(np.arange(len(n)), n)
+        w = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("ids")]).astype(np.int64)
+        if codes:
+            w[w < 0] = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("rare")])
+        first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(w) else np.zeros(0, bool)
+        c, q = np.roll(w, 1), np.roll(w, -1)
+        c[first], q[np.roll(first, -1)] = v - 1, v
+        return w, c, q, owner, np.array(batch.column("good").to_pylist(), bool)[owner]
+
+    def margins(batches):
+        """Counts of the words with ids as contexts and as words, in all and in the target; at -1 those of all tokens."""
+        sums, all_b, all_t = np.zeros((4, v), np.int64), 0, 0
+        for batch in _slices(batches):
+            w, c, _, _, is_good = tokens(batch)
+            for k, x in enumerate((c, c[is_good], w, w[is_good])):
+                sums[k] += np.bincount(x[x >= 0], minlength=v)
+            all_b, all_t = all_b + len(w), all_t + int(is_good.sum())
+        at = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at))), *(pa.array(np.concatenate(([x], s[at]))) for x, s in zip((0, 0, all_b, all_t), sums))], ["code", *SIDES])
+
+    ends = texts.mapInArrow(margins, "code long, " + ", ".join(f"{x} long" for x in SIDES)).groupBy("code").agg(*(F.sum(x).alias(x) for x in SIDES))
+    code, *held = _arrays(ends, "code", *SIDES)  # v + 1 rows at most
+    total_t = int(held[3][code == -1].sum())
+    marginal = {x: np.zeros(v) for x in SIDES}
+    for x, n in zip(SIDES, held):
+        marginal[x][code[code >= 0]] = n[code >= 0]
+    # of each word with an id: smoothing added to its bigrams' counts, and its term as a context
+    base_b, base_t = (strength * (marginal[f"word_{s}"] + 1.0) / max(n + types, 1) for s, n in (("b", total), ("t", total_t)))
+    sent = spark.sparkContext.broadcast((base_b, base_t, np.log((marginal["context_t"] + strength) / (marginal["context_b"] + strength))))
 
     def count(batches):
-        for batch in _slices(batches, "ids"):
-            c, w, owner = grams_of(batch)
-            good = np.array(batch.column("good").to_pylist(), bool)[owner].astype(np.int64)
-            order = np.lexsort((w, c))
-            c, w, good = c[order], w[order], good[order]
-            first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))) if len(c) else order
-            b = np.diff(np.concatenate((first, [len(c)])))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[first], w[first], b, np.add.reduceat(good, first) if len(c) else good)], ["c", "w", "b", "t"])
-
-    grams = stored(coded.select("ids", "rare", "good").mapInArrow(count, "c long, w long, b long, t long").groupBy("c", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "grams")
-    sides = ("context_b", "context_t", "word_b", "word_t")
-    none = F.lit(0).cast("long")
-    ends = grams.select(F.col("c").alias("code"), F.col("b").alias(sides[0]), F.col("t").alias(sides[1]), none.alias(sides[2]), none.alias(sides[3]))
-    ends = ends.unionByName(grams.select(F.col("w").alias("code"), none.alias(sides[0]), none.alias(sides[1]), F.col("b").alias(sides[2]), F.col("t").alias(sides[3])))
-    ends = stored(ends.groupBy("code").agg(*(F.sum(x).alias(x) for x in sides)), "margins")
-    code, *held = _arrays(ends.where("code >= 0"), "code", *sides)  # v rows at most
-    marginal = {}
-    for name, n in zip(sides, held):
-        marginal[name] = np.zeros(v)
-        marginal[name][code.astype(int)] = n
-    rare_words = ends.where("code < 0")
-    types = v + rare_words.count()
-    total, total_t = (x or 0 for x in ends.agg(F.sum("word_b"), F.sum("word_t")).first())
-    sent = spark.sparkContext.broadcast(marginal)
-
-    def delta(b: np.ndarray, t: np.ndarray, of: dict) -> np.ndarray:
-        """Loss under the target model minus loss under the background model, by counts of bigrams and of their words."""
-        loss = []
-        for side, n, everything in (("t", t, total_t), ("b", b, total)):
-            base = (of[f"word_{side}"] + 1.0) / (everything + types)
-            loss.append(-np.log((n + strength * base) / (of[f"context_{side}"] + strength)))
-        return loss[0] - loss[1]
-
-    def by_ids(c: np.ndarray, w: np.ndarray) -> dict:
-        m = sent.value
-        return {x: m[x][np.maximum(c if x.startswith("context") else w, 0)] for x in sides}
+        for batch in _slices(batches):
+            w, c, _, _, is_good = tokens(batch)
+            both = (w >= 0) & (c >= 0)
+            key, back, n = np.unique(c[both] * v + w[both], return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(np.bincount(back, is_good[both], len(key)).astype(np.int64))], ["key", "b", "t"])
+
+    grams = stored(texts.mapInArrow(count, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "grams")
+
+    def term(key: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+        base_b, base_t, _ = sent.value
+        return np.log((b + base_b[key % v]) / (t + base_t[key % v])).astype(np.float32)
 
     def weigh(batches):
         for batch in batches:
-            c, w, b, t = (batch.column(x).to_numpy() for x in ("c", "w", "b", "t"))
-            of = by_ids(c, w)
-            for x in sides:
-                of[x] = np.where((c if x.startswith("context") else w) < 0, batch.column(x).to_numpy(zero_copy_only=False), of[x])
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("w"), pa.array(delta(b, t, of))], ["c", "w", "delta"])
-
-    frequent = (F.col("c") >= 0) & (F.col("w") >= 0) & (F.col("b") * FREQUENT >= max(total, 1))
-    hot_c, hot_w, hot_b, hot_t = _arrays(grams.where(frequent), "c", "w", "b", "t")  # FREQUENT at most
-    hot_key = hot_c * v + hot_w
+            key, b, t = (batch.column(x).to_numpy() for x in ("key", "b", "t"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(term(key, b, t))], ["key", "term"])
+
+    frequent = F.col("b") * FREQUENT >= max(total, 1)
+    hot_key, hot_b, hot_t = _arrays(grams.where(frequent), "key", "b", "t")  # FREQUENT at most
     order = np.argsort(hot_key)
-    hot = spark.sparkContext.broadcast((hot_key[order], delta(hot_b, hot_t, by_ids(hot_c, hot_w))[order].astype(np.float32) if len(order) else np.zeros(0, np.float32)))
+    hot = spark.sparkContext.broadcast((hot_key[order], term(hot_key, hot_b, hot_t)[order]))
 
     def local(batches):
-        hot_key, hot_delta = hot.value
-        for batch in _slices(batches, "ids"):
-            c, w, owner = grams_of(batch)
-            rows = np.array(batch.column("row").to_pylist(), np.int64)
-            k = np.where((c >= 0) & (w >= 0), c * v + w, -1)
-            at = np.minimum(np.searchsorted(hot_key, k), max(len(hot_key) - 1, 0))
-            known = hot_key[at] == k if len(hot_key) else np.zeros(len(k), bool)
-            part = np.bincount(owner[known], hot_delta[at[known]], len(rows))
-            # a row for what is scored here, with a key of its own (no word has the code v), and one for each of the other bigrams
-            columns = (np.concatenate((rows, c[~known])), np.concatenate((np.full(len(rows), v), w[~known])), np.concatenate((rows, rows[owner[~known]])), np.concatenate((part, np.ones((~known).sum()))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "w", "row", "x"])
-
-    # words with ids are looked up in the arrays: their rows are dealt by the other word and match nothing
-    others = grams.where(~frequent)
-    plain, mixed = others.where("c >= 0 and w >= 0"), others.where("c < 0 or w < 0")
-    for end, side in (("c", "context"), ("w", "word")):
-        of = rare_words.select(F.col("code").alias("_code"), f"{side}_b", f"{side}_t")
-        other = "w" if end == "c" else "c"
-        key = F.when(F.col(end) < 0, F.col(end)).otherwise(F.col(other).bitwiseAND(F.lit((1 << 63) - 1)))
-        mixed = mixed.withColumn("_key", key).join(of, F.col("_key") == F.col("_code"), "left").drop("_key", "_code")
-        plain = plain.withColumn(f"{side}_b", none).withColumn(f"{side}_t", none)
-    weighed = plain.unionByName(mixed).select("c", "w", "b", "t", *(F.coalesce(x, none).alias(x) for x in sides))
-    rare = weighed.mapInArrow(weigh, "c long, w long, delta double")
-    parts = coded.select("ids", "rare", "row").mapInArrow(local, "c long, w long, row long, x float").join(rare, ["c", "w"], "left")
-    sums = parts.groupBy("row").agg(F.sum(F.col("x") * F.coalesce("delta", F.lit(1.0))).alias("diff"))
-    n = (F.octet_length("ids") / 4).cast("long")
-    return coded.select("doc_id", "row", n.alias("n_tokens")).join(sums, "row").select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("diff") / F.col("n_tokens")).alias("score"))
+        """For each text a row, under a key that no bigram has, with what is known here; one for each other bigram of ids."""
+        hot_key, hot_term = hot.value
+        context = sent.value[2]
+        for batch in _slices(batches):
+            w, c, _, owner, _ = tokens(batch)
+            rows = batch.column("row").to_numpy()
+            part = np.bincount(owner[c >= 0], context[c[c >= 0]], len(rows))
+            both = (w >= 0) & (c >= 0)
+            key, of = c[both] * v + w[both], owner[both]
+            at = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
+            known = hot_key[at] == key if len(hot_key) else np.zeros(len(key), bool)
+            part += np.bincount(of[known], hot_term[at[known]], len(rows))
+            columns = (np.concatenate((-1 - rows, key[~known])), np.concatenate((rows, rows[of[~known]])), np.concatenate((part, np.ones((~known).sum()))).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "row", "x"])
+
+    terms = grams.where(~frequent).mapInArrow(weigh, "key long, term float")
+    parts = texts.mapInArrow(local, "key long, row long, x float").join(terms, "key", "left")
+    sums = parts.select("row", (F.col("x").cast("double") * F.coalesce("term", F.lit(1.0))).alias("x"))
+
+    def occurrences(batches):
+        """(x, p, q, row, good, base_b, base_t): each rare word with its neighbours; smoothing of a next word with an id."""
+        base_b, base_t, _ = sent.value
+        for batch in _slices(batches):
+            w, c, q, owner, is_good = tokens(batch, codes=True)
+            at = np.flatnonzero(w < 0)
+            after = q[at]
+            ends = (after < 0) | (after >= v)
+            bases = [np.where(ends, 0, x[np.where(ends, 0, after)]).astype(np.float32) for x in (base_b, base_t)]
+            columns = (w[at], c[at], after, batch.column("row").to_numpy()[owner[at]], is_good[at].astype(np.int32), *bases)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["x", "p", "q", "row", "good", "base_b", "base_t"])
+
+    rare = texts.mapInArrow(occurrences, "x long, p long, q long, row long, good int, base_b float, base_t float").repartition(2 * shuffle_partitions(spark), "x")
+    by = {"": Window.partitionBy("x"), "p": Window.partitionBy("x", "p"), "q": Window.partitionBy("x", "q")}
+    goes_on = F.col("q") != v
+    of = {f"{n}_b": F.count(F.lit(1)).over(w) for n, w in by.items()} | {f"{n}_t": F.sum("good").over(w) for n, w in by.items()}
+    of |= {"context_b": F.sum(goes_on.cast("int")).over(by[""]), "context_t": F.sum(F.when(goes_on, F.col("good")).otherwise(0)).over(by[""])}
+    # its bigram with the word before it, itself as a context, and its bigram with a next word that has an id
+    own_b, own_t = (strength * (F.col(f"_{s}") + 1.0) / (n + types) for s, n in (("b", total), ("t", total_t)))
+    own = F.log((F.col("p_b") + own_b) / (F.col("p_t") + own_t))
+    context = F.when(goes_on, F.log((F.col("context_t") + strength) / (F.col("context_b") + strength))).otherwise(0.0)
+    after = F.when((F.col("q") >= 0) & goes_on, F.log((F.col("q_b") + F.col("base_b").cast("double")) / (F.col("q_t") + F.col("base_t").cast("double")))).otherwise(0.0)
+    sums = sums.unionByName(rare.withColumns(of).select("row", (own + context + after).alias("x"))).groupBy("row").agg(F.sum("x").alias("diff"))
+    return coded.select("doc_id", "row", "n_tokens").join(sums, "row").select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("diff") / F.col("n_tokens")).alias("score"))

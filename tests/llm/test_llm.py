@@ -360,7 +360,7 @@ def test_lm_score(spark, docs, empty):
 
 
 def test_lm_score_keeps_rare_words(spark, monkeypatch):
-    """Against a plain model in which each word that occurs twice has counts of its own, with 4 words sent at most."""
+    """Against a plain model in which each word has counts of its own, with 4 words sent at most."""
     monkeypatch.setattr(lm_score, "FREQUENT", 8)
     monkeypatch.setattr(lm_score.vocabulary, "__defaults__", (4,))
     rng = np.random.default_rng(9)
@@ -368,8 +368,7 @@ def test_lm_score_keeps_rare_words(spark, monkeypatch):
     rows = [(i, " ".join([name() for _ in range(12)] + [f"once{i}"] * (i % 2))) for i in range(30)] + [(30, ""), (31, None)]
     labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, quality int")
     count = Counter(w for _, t in rows for w in words(t))
-    code = {i: [w if count[w] >= 2 else None for w in words(t)] for i, t in rows}
-    types = {w for x in code.values() for w in x} - {None}
+    code = {i: words(t) for i, t in rows}
     models = []
     for of in (range(10), range(32)):
         pairs = Counter(p for i in of for p in zip(["<s>", *code[i]], code[i]))
@@ -377,7 +376,7 @@ def test_lm_score_keeps_rare_words(spark, monkeypatch):
 
     def loss(model, c, w):
         pairs, context, word = model
-        base = (word[w] + 1) / (sum(word.values()) + len(types) + 2)
+        base = (word[w] + 1) / (sum(word.values()) + len(count))
         return -np.log((pairs[c, w] + 100 * base) / (context[c] + 100))
 
     got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
