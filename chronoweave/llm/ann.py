@@ -2,8 +2,10 @@
 
 On a bounded sample (`fit_rows`) a neighbour graph is built and cut into partitions of equal size with few edges
 between them; a small network learns to tell from a vector in which partitions its neighbours lie. Every row of the
-table is put into its most probable partition; a query goes to its `probes` most probable ones, and all rows there
-are ranked by exact cosine in double precision. Partitions are stored and searched in blocks of bounded size.
+table is put into its most probable partition; a query goes to its most probable ones, as many as it takes for their
+probabilities to sum up to `reach`, and all rows there are ranked by exact cosine in double precision. So a query among
+clusters visits one or two partitions and one among noise many. Partitions are stored and searched in blocks of bounded
+size. A query that finds fewer than k rows, its partitions being thin, is asked again of all partitions.
 """
 
 from __future__ import annotations
@@ -110,10 +112,11 @@ def route(w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def fit(sample: np.ndarray, parts: int = 16, k: int = 10) -> list[np.ndarray]:
     x = np.unique(unit(sample), axis=0)
-    if len(x) <= max(k, parts):
+    if parts < 2 or len(x) <= max(k, parts):
         return [np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]  # too few rows to part
     graph = neighbour_graph(x, k)
     label = balanced_cut(x, graph, parts)
+    # a row's own partition counts as much as all of its neighbours': rows are placed by it
     goal = np.zeros((len(x), parts))
     np.add.at(goal, (np.repeat(np.arange(len(x)), k), label[graph].reshape(-1)), 0.5 / k)
     goal[np.arange(len(x)), label] += 0.5
@@ -135,20 +138,25 @@ def _best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: i
     return out
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 5, parts: int = 16, probes: int = 12, fit_rows: int = 8192, block: int = 8192, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def partitions_for(n: int, fit_rows: int) -> int:
+    """A power of two: about one partition for each 512 rows of the table, and 32 rows of the sample for each at least."""
+    return 1 << max(0, min(n // 512, fit_rows // 32).bit_length() - 1)
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 5, parts: int | None = None, reach: float = 0.98, fit_rows: int = 8192, block: int = 8192, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that `is_query` holds for.
 
-    Rows without an id, and vectors that are null, zero, of another length than most of the sample or hold null or
-    non-finite components take no part. Rows with the query's id are its own. Repeated rows are candidates each; of
-    equal scores the smaller id comes first. With fewer candidates than k, all are found; an empty table gives no rows.
+    `parts`: partitions_for() by default. Rows without an id, and vectors that are null, zero, of another length than
+    most of the sample or hold null or non-finite components take no part. Rows with the query's id are its own.
+    Repeated rows are candidates each; of equal scores the smaller id comes first. With fewer candidates than k, all are
+    found; an empty table gives no rows.
     """
     spark = rows.sparkSession
     r = rows.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     n = r.count()
     share = min(1.0, fit_rows / max(n, 1))
     sample = r.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share * (1 << 30)).select("vec_id", "v").toArrow().sort_by("vec_id").column("v").combine_chunks()
-    if n <= 4 * k * parts:
-        parts, probes = 1, 1
+    parts = parts or partitions_for(n, fit_rows)
     lengths, _ = _vectors(sample)
     dim = int(np.bincount(lengths).argmax()) if len(lengths) else 0
     vectors = _usable(sample, dim)[1]
@@ -159,22 +167,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, parts: int = 16, probe
         for batch in batches:
             at, x = _usable(batch.column("v"), dim)
             p = route(sent.value, unit(x)) if len(at) else np.zeros((0, 1))
-            by = np.argsort(-p, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("q").take(take), pa.array([a.tobytes() for a in x], pa.binary()), pa.array(list(by), pa.list_(pa.int32()))], ["vec_id", "q", "v", "by"])
+            by = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
+            take, asks = pa.array(at), batch.column("q").take(pa.array(at))
+            probes = np.where(np.array(asks.to_pylist(), bool), (np.cumsum(np.take_along_axis(p, by, 1), 1) < reach).sum(1) + 1, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), asks, pa.array([a.tobytes() for a in x], pa.binary()), pa.array([a[:m] for a, m in zip(by, probes)], pa.list_(pa.int32()))], ["vec_id", "q", "v", "by"])
 
     placed = stored(r.mapInArrow(place, "vec_id long, q boolean, v binary, by array<int>"), "placed")
     placed = placed.withColumn("part", F.get("by", F.lit(0)))
-    # one row for each partition
-    counts = {x["part"]: (x["n"], x["m"]) for x in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("int")).alias("m")).collect()}
-    asked = {x["part"]: x["m"] for x in placed.where("q").select(F.explode("by").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("m")).collect()}
-    split = lambda table: F.coalesce(F.element_at(F.create_map(*(F.lit(a) for p, c in (table or {0: 1}).items() for a in (p, max(1, -(-c // block))))), F.col("part")), F.lit(1))
-    row_blocks, query_blocks = split({p: c for p, (c, _) in counts.items()}), split(asked)
-    each = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
-    spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
-    left = placed.withColumn("a", F.pmod(spread, row_blocks).cast("int")).withColumn("b", each(query_blocks)).select("part", "a", "b", "vec_id", "v")
-    right = placed.where("q").withColumn("part", F.explode("by")).withColumn("b", F.pmod(F.xxhash64("vec_id"), query_blocks).cast("int")).withColumn("a", each(row_blocks)).select("part", "a", "b", "vec_id", "v")
-
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(x) and len(q):
@@ -183,6 +182,26 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, parts: int = 16, probe
                 found += _best(mq[a : a + 256], q["vec_id"].to_numpy()[a : a + 256], mx, x["vec_id"].to_numpy(), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("part", "a", "b").cogroup(right.groupBy("part", "a", "b")).applyInPandas(compare, "query_id long, vec_id long, score double")
+    # one row for each partition
+    split = lambda counts: F.coalesce(F.element_at(F.create_map(*(F.lit(a) for p, c in (counts or {0: 1}).items() for a in (p, max(1, -(-c // block))))), F.col("part")), F.lit(1))
+    sizes = lambda table: split({x["part"]: x["n"] for x in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()})
+    each = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    row_blocks = sizes(placed)
+
+    def asked(queries: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): the k best of each block of rows for the rows `queries`, one for each partition asked."""
+        query_blocks = sizes(queries)
+        spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
+        left = placed.withColumn("a", F.pmod(spread, row_blocks).cast("int")).withColumn("b", each(query_blocks)).select("part", "a", "b", "vec_id", "v")
+        right = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), query_blocks).cast("int")).withColumn("a", each(row_blocks)).select("part", "a", "b", "vec_id", "v")
+        return left.groupBy("part", "a", "b").cogroup(right.groupBy("part", "a", "b")).applyInPandas(compare, "query_id long, vec_id long, score double")
+
+    queries = placed.where("q")
+    found = stored(asked(queries.select("vec_id", "v", F.explode("by").alias("part"))), "found")
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("_id"))
+    few = stored(queries.join(enough, F.col("vec_id") == F.col("_id"), "left_anti").select("vec_id", "v"), "few")
+    if parts > 1 and few.limit(1).count():
+        again = asked(few.select("vec_id", "v", F.explode(F.array(*map(F.lit, range(parts)))).alias("part")))
+        found = found.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

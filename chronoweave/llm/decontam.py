@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bind, row_key, split_words, stored
+from .common import ascii_lower, bind, fresh, row_key, split_words, stored
 
 
 def _doubled(values: Column, length: int, join) -> Column:
@@ -153,5 +153,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20, doc_id: st
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents that are not contaminated, with their columns as they came."""
     bad = decontaminate(docs, items, **how).where("contaminated").select("row_key").distinct()
-    key = "_decontam_key"
+    key = fresh("_decontam_key", docs.columns)
     return docs.withColumn(key, row_key(how.get("doc_id", "doc_id"), how.get("text", "text"))).join(bad.withColumnRenamed("row_key", key), key, "left_anti").select(*docs.columns)

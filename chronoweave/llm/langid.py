@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, text_bytes
+from .common import fresh
 
 DIMS = 8192
 _RNG = np.random.default_rng(7)
@@ -130,37 +131,38 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return model
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, then lang_pred, score (0 to 1) and rejected.
+def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns `keep`, then `names`: the language, its score (0 to 1) and whether it is rejected. No name may be in `keep`.
 
     Null texts and texts without a letter: `und`, score 0, rejected. Every other text gets a learned language (`und`
     if none was learned); a text without grams gets the most frequent one, score 0. Repeated rows get a row each.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x centroids x languages
+    column = fresh("_text", keep)
 
     def run(batches):
         m = sent.value
         owners = np.asarray(m["owner"])
-        for batch in in_slices(batches, "_text"):
-            texts = batch.column("_text")
+        for batch in in_slices(batches, column):
+            texts = batch.column(column)
             data, offsets = text_bytes(texts)
-            names, scores, out = [], [], []
+            found, scores, out = [], [], []
             for i, g in enumerate(_rows(texts)):
                 if not _has_letter(data[offsets[i] : offsets[i + 1]], texts[i]) or not m["langs"]:
-                    names.append("und"), scores.append(0.0), out.append(True)
+                    found.append("und"), scores.append(0.0), out.append(True)
                     continue
                 cos = m["centroids"] @ _vector(g, m["idf"])
                 j = int(np.argmax(cos)) if len(cos) else -1
                 score = float(min(1.0, max(0.0, cos[j]))) if j >= 0 else 0.0
-                names.append(m["langs"][owners[j]] if score > 0 else m["main"])
+                found.append(m["langs"][owners[j]] if score > 0 else m["main"])
                 scores.append(score)
                 out.append(bool(score < m["floor"][int(np.log2(len(g) + 1))]))
             kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*keep, *names])
 
-    d = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in d.dtypes[:-1]), "lang_pred string, score double, rejected boolean"])
-    return d.mapInArrow(run, schema)
+    d = docs.select(*keep, F.col(text).alias(column))
+    kinds = [*d.dtypes[:-1], *zip(names, ("string", "double", "boolean"))]
+    return d.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import _powers, in_slices, mix64, span_hashes, text_bytes, word_starts
-from .common import row_key, small_batches, stored
+from .common import fresh, row_key, small_batches, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,7 +139,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     Null texts stay null (no lines); rows with the same id and text are one document and lose the same lines; a text
     may become empty, one of a single line too if that has more than `least` words.
     """
-    key, cuts, lines = "_line_key", "_line_cuts", "_line_split"
+    key, cuts, lines = (fresh(x, docs.columns) for x in ("_line_key", "_line_cuts", "_line_split"))
     gone = removals(docs, doc_id=doc_id, text=text, **how).select(F.col("row_key").alias(key), F.col("cuts").alias(cuts))
     d = docs.withColumn(key, row_key(doc_id, text)).join(gone, key, "left").withColumn(lines, F.split(text, "\n", -1))
     left = F.filter(F.col(lines), lambda x, i: ~F.exists(cuts, lambda c: (i >= c["at"]) & (i < c["at"] + c["n"])))

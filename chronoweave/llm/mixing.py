@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ordered_totals, row_key, shuffle_partitions
+from .common import fresh, ordered_totals, row_key, shuffle_partitions
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 ROUNDS = 24
@@ -126,11 +126,11 @@ def resampled(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     A document's words taken over its size, rounded down or up by a hash of its row so that sums hold on average:
     0 to `passes` copies. Documents without words are kept once.
     """
-    key = "_mix_key"
+    key, copies_of, copy = (fresh(x, docs.columns) for x in ("_mix_key", "_times", "_copy"))
     t = taken(docs, seed=seed, **how)
     part = F.col("taken") / F.col("size")
     draw = F.pmod(F.xxhash64(F.lit(seed), "row_key"), F.lit(1 << 20)) / float(1 << 20)
-    times = t.select(F.col("row_key").alias(key), F.when(F.col("size") == 0, 1).otherwise(F.floor(part + draw)).cast("int").alias("_times"))
-    times = times.groupBy(key).agg(F.max("_times").alias("_times"))
-    copies = docs.withColumn(key, row_key(how.get("doc_id", "doc_id"), how.get("text", "text"))).join(times, key).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+    times = t.select(F.col("row_key").alias(key), F.when(F.col("size") == 0, 1).otherwise(F.floor(part + draw)).cast("int").alias(copies_of))
+    times = times.groupBy(key).agg(F.max(copies_of).alias(copies_of))
+    copies = docs.withColumn(key, row_key(how.get("doc_id", "doc_id"), how.get("text", "text"))).join(times, key).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies_of))))
     return copies.select(*docs.columns)

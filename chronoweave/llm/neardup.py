@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, mix64, word_hashes
-from .common import row_key, small_batches, stable, stored
+from .common import fresh, row_key, small_batches, stable, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Components of the longer signatures.
@@ -302,6 +302,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each class, with its columns as they came; rows that repeat without words are kept once."""
     members, _ = near_duplicates(docs, doc_id=doc_id, text=text, **how)
-    key = "_neardup_key"
+    key = fresh("_neardup_key", docs.columns)
     stands = members.where("stands").select(F.col("row_key").alias(key)).distinct()
     return docs.withColumn(key, row_key(doc_id, text)).join(stands, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

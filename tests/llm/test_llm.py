@@ -403,15 +403,39 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_recall():
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_neighbours_of_many(spark, clusters):
+    """Recall of search() itself through partitions, probes and blocks, against brute force; fewer rows searched in clusters."""
     rng = np.random.default_rng(4)
-    x = ann.unit(rng.normal(size=(4000, 32)))
-    p = ann.route(ann.fit(x[:2000]), x)
-    own, q = p.argmax(1), np.arange(0, 4000, 50)
-    cos = x[q] @ x.T
+    x = rng.normal(size=(12_000, 32)) * (0.4 if clusters else 1)
+    if clusters:
+        x += rng.normal(size=(clusters, 32))[rng.integers(0, clusters, len(x))]
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert ann.partitions_for(len(x), 8192) == 16
+    got = ann.search(df, F.col("vec_id") % 50 == 0, block=400).toPandas()
+    q = np.arange(0, len(x), 50)
+    unit = ann.unit(x)
+    cos = unit[q] @ unit.T
     cos[np.arange(len(q)), q] = -9
-    top, by = np.argsort(-cos, 1)[:, :5], np.argsort(-p[q], 1)[:, :12]
-    assert np.mean([(own[t][:, None] == b).any(1).mean() for t, b in zip(top, by)]) >= 0.9
+    top = np.argsort(-cos, 1)[:, :5]
+    assert len(got) == 5 * len(q) and got.groupby("query_id")["rank"].apply(list).map(lambda r: sorted(r) == [1, 2, 3, 4, 5]).all()
+    assert np.allclose(got["score"], cos[got["query_id"] // 50, got["vec_id"]])
+    by = got.groupby("query_id")["vec_id"].apply(set)
+    assert np.mean([len(by[i] & set(t)) / 5 for i, t in zip(q, top)]) >= 0.9
+    p = ann.route(ann.fit(x[:8192], 16), unit[q])
+    probes = (np.cumsum(-np.sort(-p, 1), 1) < 0.98).sum(1) + 1
+    assert not clusters or probes.mean() < 4
+
+
+def test_neighbours_in_thin_partitions(spark):
+    """Queries whose own partitions hold fewer than k rows are asked of all."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(1500, 8)) + 9, -rng.random((2, 8)) - 9))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") == 1500, parts=8, reach=0.0).orderBy("rank").collect()
+    cos = ann.unit(x) @ ann.unit(x[1500:1501])[0]
+    assert len(got) == 5 and got[0]["vec_id"] == 1501 and np.allclose([r["score"] for r in got], np.sort(np.delete(cos, 1500))[::-1][:5])
 
 
 def test_personal_data_in_long_lists(spark):
@@ -439,3 +463,30 @@ def test_personal_data_proposals(spark):
     found = pii.per_document(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("spans") > 0)
     got = {r["doc_id"] for r in found.select("doc_id").collect()}
     assert len(got & planted) >= 0.95 * len(planted) and len(got - planted) <= 0.02 * len(rows)
+
+
+def test_shards_hold_what_they_promise(spark, docs, tmp_path):
+    """size, crc, the order along the curve and the law of bytes, by plain Python; what is written, row by row."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "x" * int(rng.integers(0, 400)), ["en", "fr", "de", None][i % 4], f"web_crawl_{'abcdefgh'[int(rng.integers(8)) if i % 3 else 0]}") for i in range(600)] + [(7, "same", "en", "web_crawl_a")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = hilbert.shard(df, 7).toPandas()
+    of = Counter((i, zlib.crc32(t.encode()), 16 + len(t.encode())) for i, t, _, _ in rows)
+    assert Counter(zip(got["doc_id"], got["text_crc32"], got["size"])) == of
+    part, before = sum(len(t) + 16 for _, t, _, _ in rows) / 7, 0
+    order = got.sort_values(["shard", "slot"])
+    assert order["curve"].is_monotonic_increasing
+    for n, s in zip(order["size"], order["shard"]):
+        assert s == min(6, int((before + n / 2) // part))
+        before += n
+    # sources that share their first letters have levels of their own, and cells differ by all dimensions
+    levels = hilbert.quantise(df.withColumn("size", F.length("text")), ["source", "lang", "size"], 5).select("source", "_q0").distinct().toPandas()
+    assert levels["_q0"].nunique() == 8 and levels.sort_values("source")["_q0"].is_monotonic_increasing
+    hilbert.write_shards(df, f"{tmp_path}/out", 7)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert Counter(tuple(r) for r in back.select(*df.columns).collect()) == Counter(rows)
+    assert sorted(back.groupBy("shard").count().collect()) == sorted(zip(*np.unique(got["shard"], return_counts=True)))
+    assert hilbert.shard(docs.limit(0).select("doc_id", "text", "lang", "source"), 7).count() == 0
+    # the same places on another partitioning
+    again = hilbert.shard(df.repartition(5), 7).toPandas()
+    assert Counter(zip(again["doc_id"], again["shard"], again["slot"])) == Counter(zip(got["doc_id"], got["shard"], got["slot"]))
