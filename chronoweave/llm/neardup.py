@@ -27,7 +27,7 @@ from .common import fresh, row_key, small_batches, stable, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Components of the longer signatures.
-FINE = 1024
+FINE = 2048
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:

@@ -229,7 +229,7 @@ def test_longer_signatures_keep_pairs_at_the_threshold(spark):
     fine = neardup.fine_bits(spark.createDataFrame(sets, "node long, shingles binary, counts binary"))
     a, b = (fine.where(F.col("node") == k).select(F.col("fine").alias(n)) for k, n in ((0, "a"), (1, "b")))
     agree = a.crossJoin(b).selectExpr(neardup.fine_agreement("a", "b")).first()[0]
-    assert neardup.fine_least(0.8) <= agree < 1024
+    assert neardup.fine_least(0.8) <= agree < neardup.FINE
 
 
 def test_signatures_estimate_weighted_jaccard():
