@@ -157,7 +157,7 @@ def _known(spark: SparkSession) -> DataFrame:
 _add("knowledge_states", lambda s, d: states.knowledge(_obs(s, d), _known(s)).select("entity", "variable", "time", "bin"), _with(OBS, "SELECT entity, variable, time, CASE WHEN variable = 5 THEN -1 WHEN value < 15 THEN 1 WHEN value < 35 THEN 2 WHEN value < 70 THEN 3 ELSE 4 END AS bin FROM obs"))
 for _n, _a in (("mean", "avg"), ("least", "min"), ("most", "max")):
     _add({"mean": "paa_mean", "least": "paa_min", "most": "paa_max"}[_n], lambda s, d, n=_n: states.paa(_obs(s, d), 4).select("entity", "variable", "first_time", F.round(n, 6).alias("value")), _with(OBS, f"SELECT entity, variable, min(time) AS first_time, round({_a}(value), 6) AS value FROM (SELECT *, (row_number() OVER (PARTITION BY entity, variable ORDER BY time) - 1) // 4 AS piece FROM obs) GROUP BY entity, variable, piece"))
-_add("candidate_pool", lambda s, d: states.candidate_pool(_obs(s, d), 50), _with(OBS, "SELECT DISTINCT variable, value FROM (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY variable) AS n FROM (SELECT DISTINCT variable, value FROM obs)), (SELECT unnest(range(50)) AS k) WHERE n > 1 AND i = CAST(floor(1 + k * (n - 2) / 49) AS INTEGER)"))
+_add("candidate_pool", lambda s, d: states.candidate_pool(_obs(s, d), 100), _with(OBS, "SELECT DISTINCT variable, value FROM (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY variable) AS n FROM (SELECT DISTINCT variable, value FROM obs)), (SELECT unnest(range(100)) AS k) WHERE n > 1 AND i = CAST(floor(1 + k * (n - 2) / 99) AS INTEGER)"))
 HIST = BINS + """,
 hn AS (SELECT variable, class, bin, count(*) AS n FROM pts JOIN cls USING (entity) GROUP BY ALL),
 hg AS (SELECT variable, class, bin, coalesce(n, 0) + 1e-10 AS c FROM (SELECT DISTINCT variable, bin FROM hn) JOIN (SELECT DISTINCT variable, class FROM hn) USING (variable) LEFT JOIN hn USING (variable, class, bin)),
@@ -247,9 +247,9 @@ def _regime(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("regime_scored", lambda s, d: _regime(s, d).select("entity", "time", "regime", "scored"), _with(WIN, "SELECT entity, time, regime, scored FROM rg"))
-_add("forecast_metrics", lambda s, d: forecast.measures(_regime(s, d).where("scored")), _with(WIN + """,
+_add("forecast_metrics", lambda s, d: forecast.measures(_regime(s, d).where("scored"), 3), _with(WIN + """,
 mr AS (SELECT unnest(['overall', regime]) AS scope, y, pred FROM rg WHERE scored),
-mc AS (SELECT scope, c, sum(t) AS t, sum(q) AS q, sum(tp) AS tp FROM (SELECT scope, y AS c, 1 AS t, 0 AS q, CAST(y = pred AS INTEGER) AS tp FROM mr UNION ALL SELECT scope, pred, 0, 1, 0 FROM mr) GROUP BY ALL)""", "SELECT scope, CAST(sum(t) AS BIGINT) AS n, round(sum(tp) / sum(t), 6) AS accuracy, round(avg(2 * tp / (t + q)), 6) AS macro_f1, round(sum(2 * tp / (t + q) * t) / sum(t), 6) AS weighted_f1, round(max(t) / sum(t), 6) AS baseline FROM mc GROUP BY scope"))
+mc AS (SELECT scope, c, sum(t) AS t, sum(q) AS q, sum(tp) AS tp FROM (SELECT scope, y AS c, 1 AS t, 0 AS q, CAST(y = pred AS INTEGER) AS tp FROM mr UNION ALL SELECT scope, pred, 0, 1, 0 FROM mr) GROUP BY ALL)""", "SELECT scope, CAST(sum(t) AS BIGINT) AS n, round(sum(tp) / sum(t), 6) AS accuracy, round(sum(2 * tp / (t + q)) / 3, 6) AS macro_f1, round(sum(2 * tp / (t + q) * t) / sum(t), 6) AS weighted_f1, round(max(t) / sum(t), 6) AS baseline FROM mc GROUP BY scope"))
 _add("agg_context_window", lambda s, d: (lambda f: forecast.latest_within(_obs(s, d).select("entity", "time").distinct(), f, 3))(_forecasts(s, d).where("symbol = 1").groupBy("pattern", "entity", "time").agg(F.max("p").alias("value"))), _with(SYNTHETIC + ", g AS (SELECT pattern, entity, time, max(p) AS value FROM fc WHERE symbol = 1 GROUP BY ALL)", "SELECT o.entity, g.pattern, o.time, max(g.time) AS from_time, arg_max(g.value, g.time) AS value FROM (SELECT DISTINCT entity, time FROM obs) o JOIN g ON g.entity = o.entity AND g.time BETWEEN o.time - 3 AND o.time GROUP BY ALL"))
 _add("early_warning_decisions", lambda s, d: forecast.early_warning(_events(s, d), 0.5, 2), _with(EVENTS, "SELECT entity, min(time) AS decided FROM (SELECT *, count(*) OVER (PARTITION BY entity, run) AS size, row_number() OVER (PARTITION BY entity, run ORDER BY time) AS k FROM (SELECT *, n - row_number() OVER (PARTITION BY entity ORDER BY time) AS run FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY time) AS n FROM pe) WHERE p >= 0.5)) WHERE size >= 3 AND k = 2 GROUP BY entity"))
 CONF = EVENTS + ", cf AS (SELECT CAST(k AS INTEGER) AS k, CAST(sum(CASE WHEN i >= k THEN y ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN i >= k THEN 1 - y ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN i < k THEN y ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN i < k THEN 1 - y ELSE 0 END) AS BIGINT) AS tn FROM (SELECT y, floor(p * 100 + 1e-9) AS i FROM pe), (SELECT unnest(range(101)) AS k) GROUP BY k)"
@@ -306,7 +306,7 @@ _add("score_summary_total", lambda s, d: supervised.with_total(search.welch_scor
 CROSS = _pairs_sql(same_variable=True) + ", xd AS (SELECT sym_a, sym_b, rel, class, greatest(ea, eb) - least(sa, sb) AS duration FROM pr JOIN cls USING (entity))"
 _cross = lambda s, d: supervised.cross_durations(_pairs(s, d, skip_same_variable=True), tables.classes(_obs(s, d)))
 _add("cross_durations", lambda s, d: _cross(s, d).groupBy("sym_a", "sym_b", "rel", "class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 6).alias("mean")), _with(CROSS, "SELECT sym_a, sym_b, rel, class, count(*) AS n, round(avg(duration), 6) AS mean FROM xd GROUP BY ALL"))
-_add("cross_top_keys_score", lambda s, d: supervised.top_keys_score(_cross(s, d), 20), _with(CROSS + ", xs AS (SELECT sym_a, sym_b, rel, count(*) FILTER (class = 0) AS n0, count(*) FILTER (class = 1) AS n1, avg(duration) FILTER (class = 0) AS m0, avg(duration) FILTER (class = 1) AS m1, var_samp(duration) FILTER (class = 0) AS v0, var_samp(duration) FILTER (class = 1) AS v1 FROM xd GROUP BY ALL)", "SELECT round(coalesce(sum(t), 0) / 20, 6) AS score FROM (SELECT abs(m1 - m0) / sqrt(v0 / n0 + v1 / n1) AS t FROM xs WHERE n0 >= 2 AND n1 >= 2 AND v0 + v1 > 0 ORDER BY t DESC LIMIT 20)"))
+_add("cross_top_keys_score", lambda s, d: supervised.top_keys_score(_cross(s, d), 100), _with(CROSS + ", xs AS (SELECT sym_a, sym_b, rel, count(*) FILTER (class = 0) AS n0, count(*) FILTER (class = 1) AS n1, avg(duration) FILTER (class = 0) AS m0, avg(duration) FILTER (class = 1) AS m1, var_samp(duration) FILTER (class = 0) AS v0, var_samp(duration) FILTER (class = 1) AS v1 FROM xd GROUP BY ALL)", "SELECT round(coalesce(sum(t), 0) / 100, 6) AS score FROM (SELECT abs(m1 - m0) / sqrt(v0 / n0 + v1 / n1) AS t FROM xs WHERE n0 >= 2 AND n1 >= 2 AND v0 + v1 > 0 ORDER BY t DESC LIMIT 100)"))
 _add("entity_states", lambda s, d: supervised.entity_equal_frequency(_obs(s, d), 2).select("entity", "variable", "time", "bin"), _with(OBS, "SELECT entity, variable, time, CASE WHEN value >= round(quantile_cont(value, 0.5) OVER (PARTITION BY entity, variable), 6) THEN 2 ELSE 1 END AS bin FROM obs"))
 
 
@@ -343,8 +343,12 @@ _add("cutpoint_stability", lambda s, d: supervised.cut_stability(_obs(s, d).grou
 
 
 def queries() -> dict:
-    return dict(Q)
+    from . import catalogue_more
+
+    return Q | catalogue_more.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import catalogue_more
+
+    return SQL | catalogue_more.SQL

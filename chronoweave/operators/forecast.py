@@ -77,14 +77,15 @@ def scored(rows: DataFrame, manifest: DataFrame, warmup: int) -> DataFrame:
     return rows.join(manifest.select("entity", "regime", "cut_time"), "entity", "left").withColumn("scored", F.coalesce(ok, F.lit(False)) & F.col("covered")).drop("cut_time")
 
 
-def measures(rows: DataFrame) -> DataFrame:
-    """(scope, n, accuracy, macro_f1, weighted_f1, baseline) of rows (regime, y, pred): overall and by regime."""
+def measures(rows: DataFrame, symbols: int) -> DataFrame:
+    """(scope, n, accuracy, macro_f1, weighted_f1, baseline) of rows (regime, y, pred): overall and by regime. The mean of
+    F1 is over all `symbols` that can be forecast; one that neither occurs nor is forecast counts 0."""
     n = rows.select(F.explode(F.array(F.lit("overall"), F.col("regime"))).alias("scope"), "y", "pred").groupBy("scope", "y", "pred").count()
     total = n.groupBy("scope").agg(F.sum("count").alias("n"), (F.sum(F.when(F.col("y") == F.col("pred"), F.col("count")).otherwise(0)) / F.sum("count")).alias("accuracy"))
     side = n.select("scope", F.col("y").alias("c"), F.col("count").alias("t"), F.lit(0).alias("q"), F.when(F.col("y") == F.col("pred"), F.col("count")).otherwise(0).alias("tp"))
     side = side.unionByName(n.select("scope", F.col("pred").alias("c"), F.lit(0).cast("long").alias("t"), F.col("count").alias("q"), F.lit(0).cast("long").alias("tp")))
     per = side.groupBy("scope", "c").agg(F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum("tp").alias("tp")).withColumn("f1", 2 * F.col("tp") / (F.col("t") + F.col("q")))
-    f = per.groupBy("scope").agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("t")) / F.sum("t")).alias("weighted_f1"), (F.max("t") / F.sum("t")).alias("baseline"))
+    f = per.groupBy("scope").agg((F.sum("f1") / symbols).alias("macro_f1"), (F.sum(F.col("f1") * F.col("t")) / F.sum("t")).alias("weighted_f1"), (F.max("t") / F.sum("t")).alias("baseline"))
     r = lambda c: F.round(c, 6).alias(c)
     return total.join(f, "scope").select("scope", "n", r("accuracy"), r("macro_f1"), r("weighted_f1"), r("baseline"))
 
@@ -129,3 +130,61 @@ def legacy_aggregate(rows: DataFrame, how: str, share: float = 0.5) -> DataFrame
     if how == "weighted":
         return rows.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.col("p") * F.col("weight")), F.when(F.sum("weight") > 0, F.sum("weight"))), F.avg("p")).alias("p"))
     return rows.groupBy(*by).agg({"avg": F.avg, "max": F.max, "min": F.min}[how]("p").alias("p"))
+
+
+def endpoint_order(starts: Column, ends: Column) -> Column:
+    """Names of an instance's endpoints in time, "0+ 1+ 0- 1-" for two symbols that overlap: number of the symbol, + start
+    or - end; at the same time by number, then starts first."""
+    side = lambda x, sign: F.transform(x, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.lit(sign).alias("s")))
+    return F.array_join(F.transform(F.array_sort(F.concat(side(starts, "+"), side(ends, "-"))), lambda p: F.concat(p["i"].cast("string"), p["s"])), " ")
+
+
+def time_to_end(expanded: DataFrame) -> DataFrame:
+    """Adds `tte` to rows of expand(): time units left until the instance is over, counted from 1."""
+    total = F.aggregate("durs", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return expanded.withColumn("tte", total - F.col("t") + 1)
+
+
+def event_times(sti: DataFrame, event: int) -> DataFrame:
+    """(entity, event_time): start of the entity's last interval of the symbol `event`; `sti` has `pos`."""
+    return sti.where(F.col("state") == event).groupBy("entity").agg(F.max_by("start", "pos").alias("event_time"))
+
+
+def time_to_event(rows: DataFrame, events: DataFrame, at: str) -> DataFrame:
+    """Adds `tte` from `at` to the entity's event; null without one, below 0 after it."""
+    return rows.join(events, "entity", "left").withColumn("tte", F.col("event_time") - F.col(at)).drop("event_time")
+
+
+def baselines(rows: DataFrame) -> DataFrame:
+    """(scope, majority, baseline, accuracy, beats_baseline) of rows (regime, y, pred): the most frequent truth, the
+    smallest of several, how often it is right, and whether the forecasts are right more often."""
+    n = rows.select(F.explode(F.array(F.lit("overall"), F.col("regime"))).alias("scope"), "y", "pred").groupBy("scope", "y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == F.col("pred")).alias("right"))
+    x = n.groupBy("scope").agg(F.max(F.struct("n", (-F.col("y")).alias("m"))).alias("top"), F.sum("n").alias("of"), F.sum("right").alias("right"))
+    base, hit = F.col("top.n") / F.col("of"), F.col("right") / F.col("of")
+    return x.select("scope", (-F.col("top.m")).cast("int").alias("majority"), F.round(base, 6).alias("baseline"), F.round(hit, 6).alias("accuracy"), (hit > base).alias("beats_baseline"))
+
+
+def log_loss(truth: DataFrame, joint: DataFrame, clip: float = 1e-15) -> DataFrame:
+    """(scope, n, log_loss) of truths (entity, time, regime, y) whose symbol has a probability in (entity, time, symbol, p)."""
+    x = truth.join(joint.select("entity", "time", F.col("symbol").alias("y"), "p"), ["entity", "time", "y"])
+    x = x.select(F.explode(F.array(F.lit("overall"), F.col("regime"))).alias("scope"), F.least(F.greatest("p", F.lit(clip)), F.lit(1 - clip)).alias("p"))
+    return x.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.log("p")), 6).alias("log_loss"))
+
+
+def extreme_row(rows: DataFrame, largest: bool = True) -> DataFrame:
+    """For each (entity, time) the whole row with the largest (smallest) p, that of the smallest pattern of several."""
+    rest = [c for c in rows.columns if c not in ("entity", "time")]
+    key = F.struct(F.col("p") if largest else -F.col("p"), -F.col("pattern"))
+    return rows.groupBy("entity", "time").agg(F.max_by(F.struct(*rest), key).alias("x")).select("entity", "time", "x.*")
+
+
+def warning_classes(rows: DataFrame, threshold: float, run: int, window: float) -> DataFrame:
+    """(entity, decided, label) of rows (entity, time, p, tte_pred, tte_true, outcome): tp if the entity has the event and
+    the forecast time to it at the decision, 0 at least, is within half a window of the true one; any other decision is fp;
+    without a decision fn or tn."""
+    decided = early_warning(rows, threshold, run)
+    at = rows.join(decided.select("entity", F.col("decided").alias("time")), ["entity", "time"]).select("entity", F.col("time").alias("decided"), (F.abs(F.greatest(F.lit(0), "tte_pred") - F.col("tte_true")) <= window / 2).alias("near"))
+    every = rows.groupBy("entity").agg(F.max("outcome").alias("outcome"))
+    event = F.col("outcome") == 1
+    label = F.when(F.col("decided").isNotNull(), F.when(event & F.col("near"), "tp").otherwise("fp")).otherwise(F.when(event, "fn").otherwise("tn"))
+    return every.join(at, "entity", "left").select("entity", "decided", label.alias("label"))

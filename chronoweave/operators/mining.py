@@ -18,15 +18,18 @@ def frequent_pairs(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.groupBy("sym_a", "sym_b", "rel").agg(F.countDistinct("entity").alias("support")).where(F.col("support") >= least)
 
 
-def first_level(pairs: DataFrame, least: float) -> DataFrame:
-    kept = pairs.join(F.broadcast(frequent_pairs(pairs, least).drop("support")), ["sym_a", "sym_b", "rel"])
-    return kept.select("entity", F.array("pos_a", "pos_b").alias("at"), F.array("sym_a", "sym_b").alias("symbols"), F.array("rel").alias("rels"), "start_a", F.greatest("end_a", "end_b").alias("last_end"))
+def only_frequent(pairs: DataFrame, least: float) -> DataFrame:
+    return pairs.join(frequent_pairs(pairs, least).drop("support"), ["sym_a", "sym_b", "rel"])
+
+
+def first_level(pairs: DataFrame) -> DataFrame:
+    return pairs.select("entity", F.array("pos_a", "pos_b").alias("at"), F.array("sym_a", "sym_b").alias("symbols"), F.array("rel").alias("rels"), "start_a", F.greatest("end_a", "end_b").alias("last_end"))
 
 
 def extend(level: DataFrame, pairs: DataFrame, size: int, least: float, kinds: int | None = 7) -> DataFrame:
-    """Instances of one more symbol, of frequent patterns only; `kinds` None: without the table of compositions."""
-    p = pairs.join(F.broadcast(frequent_pairs(pairs, least).drop("support")), ["sym_a", "sym_b", "rel"])
-    edge = lambda k: p.select("entity", F.col("pos_a").alias(f"a{k}"), F.col("pos_b").alias("new"), F.col("rel").alias(f"r{k}"), *([F.col("sym_b").alias("new_symbol"), F.col("end_b").alias("new_end")] if k == size - 1 else []))
+    """Instances of one more symbol, of frequent patterns only, from only_frequent() pairs; `kinds` None: without the
+    table of compositions."""
+    edge = lambda k: pairs.select("entity", F.col("pos_a").alias(f"a{k}"), F.col("pos_b").alias("new"), F.col("rel").alias(f"r{k}"), *([F.col("sym_b").alias("new_symbol"), F.col("end_b").alias("new_end")] if k == size - 1 else []))
     out = level.withColumns({f"a{k}": F.get("at", F.lit(k)) for k in range(size)}).join(edge(size - 1), ["entity", f"a{size - 1}"])
     for k in reversed(range(size - 1)):
         out = out.join(edge(k), ["entity", f"a{k}", "new"])
@@ -52,8 +55,8 @@ def mine(pairs: DataFrame, least: float, max_size: int, kinds: int = 7) -> list[
     """Instances of the frequent patterns of 2, 3, ... symbols; each level is written to the checkpoint folder."""
     folder = pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
     keep = (lambda x: x.persist()) if folder.isEmpty() else (lambda x: x.checkpoint())
-    pairs = keep(pairs)
-    levels = [keep(first_level(pairs, least))]
+    pairs = keep(only_frequent(keep(pairs), least))  # once for all levels
+    levels = [first_level(pairs)]
     while len(levels) + 1 < max_size and levels[-1].limit(1).count():
         levels.append(keep(extend(levels[-1], pairs, len(levels) + 1, least, kinds)))
     return levels
@@ -78,3 +81,17 @@ def detect(pairs: DataFrame, symbols: list[int], rels: list[int]) -> DataFrame:
             edge = pairs.where((F.col("sym_a") == symbols[i]) & (F.col("sym_b") == symbols[j]) & (F.col("rel") == r)).select("entity", F.col("pos_a").alias(f"p{i}"), F.col("pos_b").alias(f"p{j}"))
             out = edge if out is None else out.join(edge, [c for c in edge.columns if c in out.columns])
     return out
+
+
+def ending_with(instances: DataFrame, event: int) -> DataFrame:
+    """The instances of patterns of more than two symbols that end with `event`."""
+    return instances.where((F.size("symbols") > 2) & (F.element_at("symbols", -1) == event))
+
+
+def entity_features(instances: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, pattern, present, hs, md) for each entity and each pattern that has instances: whether and how often it
+    occurs, and its mean duration; 0 where it does not. The patterns of a mining run are few and listed on the driver."""
+    per = instances.groupBy("entity", name().alias("pattern")).agg(F.count(F.lit(1)).alias("hs"), F.avg(F.col("last_end") - F.col("start_a")).alias("md"))
+    names = sorted(r[0] for r in instances.select(name().alias("pattern")).distinct().collect())
+    grid = entities.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("pattern"))
+    return grid.join(per, ["entity", "pattern"], "left").select("entity", "pattern", F.col("hs").isNotNull().cast("int").alias("present"), F.coalesce("hs", F.lit(0)).alias("hs"), F.round(F.coalesce("md", F.lit(0.0)), 6).alias("md"))

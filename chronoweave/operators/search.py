@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,39 @@ def greedy_cuts(obs: DataFrame, classes: DataFrame, bins: int, pool: int, max_ga
             else:
                 done.add(r["variable"])
     return spark.createDataFrame([(v, c) for v, cs in sorted(chosen.items()) for c in sorted(cs)], "variable int, cut double")
+
+
+def greedy(obs: DataFrame, candidates: DataFrame, score: Callable[[DataFrame], DataFrame], bins: int, least_share: float = 0.0) -> DataFrame:
+    """(variable, cut): the cut of each variable, one a round, whose bins (low, high] have the best score by `score`, which
+    maps rows (entity, variable, time, value, bin) to (variable, score); of equal ones the smallest. A cut that leaves a
+    bin with less than `least_share` of the rows is not tried; a variable of one value has that value as each cut.
+
+    A round scores all candidates of all variables in one job: each candidate is a variable of its own for `score`."""
+    spark = obs.sparkSession
+    ends = {r["variable"]: (r["lo"], r["hi"]) for r in obs.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    pool = [(r["variable"], r["value"]) for r in candidates.select("variable", "value").collect()]  # as many as were asked for
+    chosen: dict[int, list[float]] = {v: [lo] * (bins - 1) for v, (lo, hi) in ends.items() if lo == hi}
+    for done in range(bins - 1):
+        tries = [(i, v, c, [*chosen.get(v, []), c]) for i, (v, c) in enumerate(pool) if len(chosen.get(v, [])) == done and c not in chosen.get(v, [])]
+        if not tries:
+            break
+        t = spark.createDataFrame(tries, "id int, variable int, cut double, cuts array<double>")
+        rows = obs.join(F.broadcast(t), "variable").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("variable", "cut", "cuts").withColumnRenamed("id", "variable")
+        found = score(rows)
+        if least_share:
+            n = rows.groupBy("variable", "bin").count().groupBy("variable").agg(F.min("count").alias("least"), F.sum("count").alias("of"), F.count(F.lit(1)).alias("bins"))
+            found = found.join(n.where((F.col("least") >= F.lit(least_share) * F.col("of")) & (F.col("bins") == done + 2)).select("variable"), "variable")
+        best: dict[int, tuple] = {}
+        names = {i: (v, c) for i, v, c, _ in tries}
+        for r in found.where("score is not null").collect():  # a row for each candidate
+            v, c = names[r["variable"]]
+            best[v] = max(best.get(v, (float("-inf"), 0.0)), (r["score"], -c))
+        for v, (_, minus) in best.items():
+            chosen.setdefault(v, []).append(-minus)
+    return spark.createDataFrame([(v, float(c)) for v, cs in sorted(chosen.items()) for c in sorted(cs)], "variable int, cut double")
+
+
+def length_of_stay(obs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, los): mean over its entities of the time from the first to the last row."""
+    per = obs.groupBy("entity").agg((F.max("time") - F.min("time")).alias("stay"))
+    return per.join(classes, "entity").groupBy("class").agg(F.round(F.avg("stay"), 6).alias("los"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,11 +63,12 @@ def gradient_bins(angled: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def knowledge(obs: DataFrame, bins: DataFrame) -> DataFrame:
-    """Adds `bin` from (variable, bin, low, high): low <= value < high, the lowest match, -1 without one."""
-    b = bins.select(F.col("variable").alias("v"), F.col("bin").alias("known"), "low", "high")
-    match = (F.col("variable") == F.col("v")) & (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))
-    found = obs.join(F.broadcast(b), match, "left").groupBy("entity", "variable", "time", "value").agg(F.min_by("known", "low").alias("bin"))
-    return found.withColumn("bin", F.coalesce("bin", F.lit(-1)))
+    """Adds `bin` from (variable, bin, low, high): low <= value < high, the lowest match, -1 without one.
+
+    A variable's bins are few and travel as one array, so rows stay where they are, repeated ones too."""
+    known = bins.groupBy("variable").agg(F.array_sort(F.collect_list(F.struct("low", "high", "bin"))).alias("_bins"))
+    hit = F.get(F.filter("_bins", lambda b: (F.col("value") >= b["low"]) & (F.col("value") < b["high"])), F.lit(0))["bin"]
+    return obs.join(F.broadcast(known), "variable", "left").withColumn("bin", F.coalesce(hit, F.lit(-1))).drop("_bins")
 
 
 def paa(obs: DataFrame, width: int) -> DataFrame:
@@ -82,3 +84,14 @@ def candidate_pool(obs: DataFrame, size: int) -> DataFrame:
     d = d.withColumn("i", F.row_number().over(by.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
     picks = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.floor(1 + k * (F.col("n") - 2) / (size - 1)).cast("int"))
     return d.where((F.col("n") > 1) & F.array_contains(picks, F.col("i"))).select("variable", "value")
+
+
+def apply_learned(train: DataFrame, other: DataFrame, learn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """States of `other` by the cuts that learn(train) gives; variables that `train` lacks have state -1."""
+    return state_ids(with_cuts(other, learn(train)))
+
+
+def keep_states(points: DataFrame, tests: DataFrame, threshold: float) -> DataFrame:
+    """States whose p-value (state, p) is at most `threshold`; the others, and those without one, become -1."""
+    p = F.broadcast(tests.select("state", F.col("p").alias("_p")))  # a row for each state
+    return points.join(p, "state", "left").withColumn("state", F.when(F.col("_p") <= threshold, F.col("state")).otherwise(-1).cast("int")).drop("_p")
