@@ -25,6 +25,8 @@ from .common import shared_dir, shuffle_partitions, small_batches, stored
 STRIDE = 256
 LIMIT = 18
 BLOCK_IDS = 1 << 16
+#: ASCII marks but the apostrophe, which may begin a token with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _default_path() -> str:
@@ -33,6 +35,17 @@ def _default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _worker_cache(path: str, dtype: str) -> PieceCache:
+    """The cache of this Python worker, which serves one task after another, for a tokenizer."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_piece_caches", {})
+    if (path, dtype) not in held:
+        held.clear()  # one at a time, so memory is bounded
+        held[path, dtype] = PieceCache(path, dtype)
+    return held[path, dtype]
+
+
 class PieceCache(dict):
     """Ids of pieces of text between blanks, as bytes. The tokenizer drops white space and never joins across it, but for
     its added tokens (<|endoftext|> and the like, in any case): a text that may hold one is encoded whole.
@@ -50,7 +63,7 @@ class PieceCache(dict):
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and piece.isalpha() and not piece.islower():
             out = self[piece.lower()]
-        elif len(head := piece.rstrip(".,")) < len(piece) and head.isascii() and head.isalpha():
+        elif len(head := piece.rstrip(MARKS)) < len(piece) and head.isalpha():  # letters and marks are never one token
             out = self[head] + self[piece[len(head) :]]
         else:
             out = self.whole(piece)
@@ -74,7 +87,7 @@ def token_ids(docs: DataFrame, path: str | None = None, end: int = 2, doc_id: st
     """(doc_id, ids): ids as bytes of `dtype`, the end id last; a null text is empty."""
 
     def run(batches):
-        cache, last = PieceCache(path or _default_path(), dtype), np.array([end], dtype).tobytes()
+        cache, last = _worker_cache(path or _default_path(), dtype), np.array([end], dtype).tobytes()
         for batch in in_slices(batches, "t"):
             ids = [cache.encode(t or "") + last for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
