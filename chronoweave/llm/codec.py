@@ -12,6 +12,7 @@ n_ids, checkpoints, payload): Parquet gives atomic writes and any store that Spa
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 
 import numpy as np
@@ -46,6 +47,17 @@ def _worker_cache(path: str, dtype: str) -> PieceCache:
     return held[path, dtype]
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 characters for themselves, the
+    others by U+0100 and on, in order."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class PieceCache(dict):
     """Ids of pieces of text between blanks, as bytes. The tokenizer drops white space and never joins across it, but for
     its added tokens (<|endoftext|> and the like, in any case): a text that may hold one is encoded whole.
@@ -58,13 +70,21 @@ class PieceCache(dict):
         self.tokenizer, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
         added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
+        kinds = [type(x).__name__ for x in (self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        # the short way holds for a lower-casing byte-level tokenizer, which these words show it to be
+        self.simple = kinds == ["BPE", "Sequence", "Sequence"] and all(self.whole(x) == self.whole(y) for x, y in (("Word", "word"), ("\u00c9t\u00e9", "\u00e9t\u00e9"))) and "ByteLevel" in str(self.tokenizer.pre_tokenizer)
         self[""] = b""
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and piece.isalpha() and not piece.islower():
             out = self[piece.lower()]
-        elif len(head := piece.rstrip(MARKS)) < len(piece) and head.isalpha():  # letters and marks are never one token
+        elif len(head := piece.rstrip(MARKS)) < len(piece) and head.isalpha() and unicodedata.normalize("NFC", head).lower().isalpha():
+            # letters that stay letters, and marks: never one token
             out = self[head] + self[piece[len(head) :]]
+        elif self.simple and len(low := piece.lower()) == len(piece) and low.isalpha() and max(low) < "\u0250" and unicodedata.is_normalized("NFC", piece):
+            # one word of the pre-tokenizer: to the model at once, each byte as the letter that stands for it
+            word = low if low.isascii() else "".join(map(BYTE_LETTERS.__getitem__, low.encode()))
+            out = np.array([x.id for x in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
         else:
             out = self.whole(piece)
         if len(self) >= self.most:
