@@ -35,8 +35,10 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53
 
 
-def signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int, m: int) -> np.ndarray:
-    """n x m earliest times; elements[i] has weight weights[i] >= 1 in the multiset of row rows[i]; no row may be empty."""
+def signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int, m: int, cells: int = 1 << 15) -> np.ndarray:
+    """n x m earliest times; elements[i] has weight weights[i] >= 1 in the multiset of row rows[i]; no row may be empty.
+
+    About `cells` points are drawn at a time, one of each element at least; the result does not depend on it."""
     out = np.full((n, m), np.inf)
     total = np.bincount(rows, weights, n)
     limit = m * (np.log(m) + 3) / np.maximum(total, 1)
@@ -48,18 +50,24 @@ def signatures(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: i
             floor = 0 if level == 0 else 1 << (level - 1)
             width = 1 if level == 0 else floor
             with np.errstate(over="ignore"):
-                state = mix64(e + GOLDEN * np.uint64(level + 1))
-                ee, rr, ww, t = state, r, w, np.zeros(len(e))
+                ee, rr, ww, t = mix64(e + GOLDEN * np.uint64(level + 1)), r, w, np.zeros(len(e))
                 k = 0
                 while len(ee):
-                    k += 1
-                    draw = mix64(ee + GOLDEN * np.uint64(2 * k + 1))
-                    t = t - np.log(_uniform(draw)) / width
-                    go = t <= limit[rr]
-                    ee, rr, ww, t = ee[go], rr[go], ww[go], t[go]
+                    # several points of each process at once, about as many as are still to come
+                    step = max(1, min(64, cells // len(ee), 1 + int(((limit[rr] - t) * width).mean())))
+                    odd = np.arange(k + 1, k + step + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                    k += step
+                    draw = mix64(ee[:, None] + GOLDEN * odd)
+                    times = -(np.log(_uniform(draw)) / width)
+                    times[:, 0] += t
+                    times = np.cumsum(times, axis=1)
+                    go = times <= limit[rr][:, None]
+                    i, _ = np.nonzero(go)
                     pick = mix64(draw[go] ^ GOLDEN)
-                    seen = floor + 1 + (pick >> np.uint64(32)).astype(np.int64) % width <= ww
-                    np.minimum.at(out.reshape(-1), rr[seen] * m + (pick[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64) % m, t[seen])
+                    seen = floor + 1 + (pick >> np.uint64(32)).astype(np.int64) % width <= ww[i]
+                    np.minimum.at(out.reshape(-1), rr[i[seen]] * m + (pick[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64) % m, times[go][seen])
+                    on = go[:, -1]
+                    ee, rr, ww, t = ee[on], rr[on], ww[on], times[on, -1]
             level += 1
             more = w > (1 << (level - 1))
             e, r, w = e[more], r[more], w[more]

@@ -490,3 +490,12 @@ def test_shards_hold_what_they_promise(spark, docs, tmp_path):
     # the same places on another partitioning
     again = hilbert.shard(df.repartition(5), 7).toPandas()
     assert Counter(zip(again["doc_id"], again["shard"], again["slot"])) == Counter(zip(got["doc_id"], got["shard"], got["slot"]))
+
+
+def test_signatures_do_not_depend_on_how_many_points_are_drawn_at_a_time():
+    rng = np.random.default_rng(1)
+    sets = [(rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(1, most, n)) for n in (1, 3, 40, 700) for most in (2, 900)]
+    elements, weights = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
+    rows = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    one, many = (neardup.signatures(elements, weights, rows, len(sets), 128, cells=c) for c in (1, 1 << 15))
+    assert np.isfinite(one).all() and np.array_equal(one, many)
