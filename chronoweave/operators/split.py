@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,11 @@ def drop_null_keys(obs: DataFrame) -> DataFrame:
 
 
 def ratio_split(obs: DataFrame, ratio: float) -> DataFrame:
-    """(entity, role): the first floor(n * ratio) entities by id train."""
+    """(entity, role): the first floor(n * ratio) entities by id train, a null id the last; the ratio is the decimal as it is written."""
     ids = obs.select("entity").distinct()
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    rank = F.row_number().over(Window.orderBy("entity"))
-    return ids.select("entity", F.when(rank <= F.floor(n * F.lit(ratio)), "train").otherwise("test").alias("role"))
+    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("entity")))
+    return ids.select("entity", F.when(rank <= F.floor(n * F.lit(Decimal(str(ratio)))), "train").otherwise("test").alias("role"))
 
 
 def hash_rank(c: Column, seed: int) -> Column:

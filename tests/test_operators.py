@@ -119,3 +119,16 @@ def test_cut_points_try_the_reference_number_of_candidates(monkeypatch):
     monkeypatch.setattr(catalogue.search, "greedy_cuts", lambda obs, classes, bins, pool, max_gap: tried.append(pool))
     catalogue.Q["tid3_cutpoints"](None, None)
     assert tried == [100]
+
+
+@pytest.mark.parametrize("n", [90, 170, 180, 90_000])
+def test_ratio_split_takes_the_ratio_as_written(spark, n):
+    """0.7 as a double gives 62999.99999999999 of 90000."""
+    got = split.ratio_split(spark.range(n).toDF("entity"), 0.7)
+    assert got.where("role = 'train'").count() == n * 7 // 10
+    assert got.where("role = 'train'").agg(F.max("entity")).first()[0] == n * 7 // 10 - 1
+
+
+def test_ratio_split_puts_a_null_entity_last(spark):
+    got = split.ratio_split(spark.createDataFrame([(None,), *((i,) for i in range(9))], "entity long"), 0.7)
+    assert {r["entity"] for r in got.where("role = 'test'").collect()} == {7, 8, None}
