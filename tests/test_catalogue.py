@@ -36,3 +36,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["apply_states_to_test", "entity_ratio_split"])
+def test_split_of_ninety_entities_matches_sql(spark, tmp_path, name):
+    """0.7 * 90 is less than 63 as a double; the SQL's decimal is exact."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(i % 7 AS INTEGER)) AS ts, i % 90 AS user_id, ['click', 'view'][1 + i % 2] AS event_type, CAST(i * 37 % 101 AS DOUBLE) AS value, '' AS props FROM range(2000) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got, want = catalogue.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(catalogue.oracle_sql()[name]).df()
+    assert rows(got) == rows(want)
