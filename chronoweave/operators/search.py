@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,26 +89,82 @@ def upper_bins(obs: DataFrame, cuts: DataFrame) -> DataFrame:
     return obs.join(F.broadcast(cuts), "variable").withColumn("state", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
 
 
+def _moments(x: pa.Table, pool: int) -> pa.RecordBatch:
+    """(variable, class, k, state, n, m, m2) of whole runs; `new` is true in the first row."""
+    new, lo, hi, time, under, base, of = (x.column(c).to_numpy() for c in ("new", "lo", "hi", "time", "under", "base", "of"))
+    kinds = [x.column(c).combine_chunks().dictionary_encode() for c in ("variable", "class")]
+    codes, states = [c.indices.to_numpy() for c in kinds], int(base.max()) + 2
+    group = codes[0].astype(np.int64) * len(kinds[1].dictionary) + codes[1]
+    found = []
+    for k in range(min(pool, int(of.max()))):
+        at = np.flatnonzero(new | ((lo <= k) & (hi > k)))
+        d = time[np.append(at[1:], len(time)) - 1] + 1 - time[at]
+        kept = (d >= 2) & (of[at] > k)
+        at, d = at[kept], d[kept]
+        key, i = np.unique(group[at] * states + base[at] + (under[at] > k), return_inverse=True)
+        n = np.bincount(i, minlength=len(key))
+        m = np.bincount(i, d, len(key)) / n
+        found.append((key, np.full(len(key), k), n, m, np.bincount(i, (d - m[i]) ** 2, len(key))))
+    key, k, n, m, m2 = (np.concatenate(c) for c in zip(*found))
+    each = [c.dictionary.take(pa.array(i)) for c, i in zip(kinds, np.divmod(key // states, len(kinds[1].dictionary)))]
+    return pa.RecordBatch.from_arrays([*each, *map(pa.array, (k, key % states, n)), pa.array(m, pa.float64()), pa.array(m2.astype(float))], ["variable", "class", "k", "state", "n", "m", "m2"])
+
+
+def tried_runs(obs: DataFrame, classes: DataFrame, tries: DataFrame, pool: int, max_gap: int, rows: int = 1 << 20) -> DataFrame:
+    """(variable, class, k, state, n, m, v): for each candidate of `tries` (variable, candidates, chosen), k its place, number,
+    mean and variance of the runs of at least 2 that the cuts `chosen` and that candidate give.
+
+    A row is moved and sorted once, for all candidates: how many of them lie under its value and under the one before
+    says whose runs end there. Runs are counted where they lie, about `rows` rows at a time."""
+    under = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("value")))
+    x = obs.where("time is not null").join(F.broadcast(tries), "variable").join(classes.where("class is not null"), "entity")
+    x = x.select("entity", "class", "variable", "time", under("candidates").alias("under"), under("chosen").alias("base"), F.size("candidates").alias("of"))
+    w = Window.partitionBy("entity", "class", "variable").orderBy("time")
+    before = lambda c: F.lag(c).over(w)
+    goes_on = (before("base") == F.col("base")) & (F.col("time") - before("time") - 1 <= max_gap)
+    last = F.coalesce(before("under"), F.col("under"))
+    x = x.select("variable", "class", "time", "under", "base", "of", (~F.coalesce(goes_on, F.lit(False))).alias("new"), F.least("under", last).alias("lo"), F.greatest("under", last).alias("hi"))
+
+    def count(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            starts = np.flatnonzero(batch.column("new").to_numpy(zero_copy_only=False)) if n >= rows else ()
+            if len(starts) and starts[-1] + n > batch.num_rows:  # a run may go on in the next batch
+                held[-1] = batch.slice(0, starts[-1])
+                yield _moments(pa.Table.from_batches(held), pool)
+                held = [batch.slice(starts[-1])]
+                n = held[0].num_rows
+        if n:
+            yield _moments(pa.Table.from_batches(held), pool)
+
+    kinds = dict(x.dtypes)
+    part = x.mapInArrow(count, f"variable {kinds['variable']}, class {kinds['class']}, k long, state long, n long, m double, m2 double")
+    each = Window.partitionBy("variable", "class", "k", "state")
+    part = part.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(each) / F.sum("n").over(each))
+    return part.groupBy("variable", "class", "k", "state", "mean").agg(F.sum("n").alias("n"), F.sum(F.col("m2") + F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("m2")).select("variable", "class", "k", "state", "n", F.col("mean").alias("m"), F.try_divide("m2", F.col("n") - 1).alias("v"))
+
+
 def greedy_cuts(obs: DataFrame, classes: DataFrame, bins: int, pool: int, max_gap: int) -> DataFrame:
     """(variable, cut): cut points of each variable, one a round, that raise the duration score most; a score of 0 ends it.
 
     A round scores all candidates of all variables in one job; candidates and chosen cuts are few and go to every task."""
     spark = obs.sparkSession
-    candidates = candidate_pool(obs, pool).persist()
+    found = candidate_pool(obs, pool).groupBy("variable").agg(F.sort_array(F.collect_list("value")).alias("values")).collect()  # a row for each variable
+    candidates = {r["variable"]: r["values"] for r in found if r["variable"] is not None}
     chosen: dict[int, list[float]] = {}
     done: set[int] = set()
     for _ in range(bins - 1):
-        so_far = spark.createDataFrame([(v, c) for v, c in chosen.items()] or [(-1, [0.0])], "variable int, chosen array<double>")
-        tries = candidates.join(F.broadcast(so_far), "variable", "left").select("variable", F.col("value").alias("cut"), F.array_append(F.coalesce("chosen", F.array().cast("array<double>")), F.col("value")).alias("cuts"))
-        points = obs.join(F.broadcast(tries), "variable").withColumn("state", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
-        runs = merge(points, max_gap, ("entity", "variable", "cut")).withColumn("duration", F.col("end") - F.col("start")).where("duration >= 2").join(classes, "entity")
-        s = runs.groupBy("variable", "cut", "state", "class").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("m"), F.var_samp("duration").alias("v"))
-        x = s.join(s.select("variable", "cut", "state", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "m", "v"))), ["variable", "cut", "state"]).where("class < class2 and n >= 2 and n2 >= 2 and v + v2 > 0")
-        score = x.groupBy("variable", "cut").agg(F.sum(F.abs((F.col("m2") - F.col("m")) / F.sqrt(F.col("v") / F.col("n") + F.col("v2") / F.col("n2")))).alias("score"))
-        best = score.groupBy("variable").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("cut")).alias("c"))).alias("b")).collect()  # a row for each variable
+        tries = spark.createDataFrame([(v, c, chosen.get(v, [])) for v, c in candidates.items()], "variable int, candidates array<double>, chosen array<double>")
+        s = tried_runs(obs, classes, tries, pool, max_gap)
+        x = s.join(s.select("variable", "k", "state", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "m", "v"))), ["variable", "k", "state"]).where("class < class2 and n >= 2 and n2 >= 2 and v + v2 > 0")
+        score = x.groupBy("variable", "k").agg(F.sum(F.abs((F.col("m2") - F.col("m")) / F.sqrt(F.col("v") / F.col("n") + F.col("v2") / F.col("n2")))).alias("score"))
+        best = score.groupBy("variable").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("k")).alias("k"))).alias("b")).collect()  # a row for each variable
         for r in best:
-            if r["variable"] not in done and r["b"]["s"] > 0 and -r["b"]["c"] not in chosen.get(r["variable"], []):
-                chosen.setdefault(r["variable"], []).append(-r["b"]["c"])
+            cut = candidates[r["variable"]][-r["b"]["k"]]
+            if r["variable"] not in done and r["b"]["s"] > 0 and cut not in chosen.get(r["variable"], []):
+                chosen.setdefault(r["variable"], []).append(cut)
             else:
                 done.add(r["variable"])
     return spark.createDataFrame([(v, c) for v, cs in sorted(chosen.items()) for c in sorted(cs)], "variable int, cut double")

@@ -132,3 +132,26 @@ def test_ratio_split_takes_the_ratio_as_written(spark, n):
 def test_ratio_split_puts_a_null_entity_last(spark):
     got = split.ratio_split(spark.createDataFrame([(None,), *((i,) for i in range(9))], "entity long"), 0.7)
     assert {r["entity"] for r in got.where("role = 'test'").collect()} == {7, 8, None}
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1 << 20])
+def test_runs_of_all_candidates_are_those_of_each(spark, rows):
+    """No row for each row and candidate is made: what tried_runs gives is counted where a row lies."""
+    from chronoweave.operators import search
+
+    obs = spark.createDataFrame([(e, v, t * (1 + (t * e) % 3), float((e * 7 + t * t * 5 + v) % 23)) for e in range(12) for v in (1, 2) for t in range(14)], tables.OBSERVATION).distinct()
+    obs = obs.unionByName(spark.createDataFrame([(1, 1, None, 3.0), (None, 1, 4, 3.0), (2, 2, 900, None), (2, 2, 901, float("nan"))], tables.OBSERVATION))
+    obs = obs.dropDuplicates(["entity", "variable", "time"])
+    classes = tables.classes(obs)
+    cuts = {1: ([2.0, 5.0, 11.0, 17.0], []), 2: ([3.0, 9.0, 20.0], [9.0, 12.0])}
+    tries = spark.createDataFrame([(v, c, o) for v, (c, o) in cuts.items()], "variable int, candidates array<double>, chosen array<double>")
+    got = {tuple(r[:4]): tuple(r[4:]) for r in search.tried_runs(obs, classes, tries, 4, 3, rows).select("variable", "class", "k", "state", "n", "m", "v").collect()}
+    want = {}
+    for v, (candidates, chosen) in cuts.items():
+        for k, c in enumerate(candidates):
+            points = search.upper_bins(obs, spark.createDataFrame([(v, [*chosen, c])], "variable int, cuts array<double>"))
+            d = intervals.merge(points, 3).withColumn("d", F.col("end") - F.col("start")).where("d >= 2").join(classes, "entity").groupBy("class", "state")
+            want |= {(v, r[0], k, r[1]): tuple(r[2:]) for r in d.agg(F.count("d"), F.avg("d"), F.var_samp("d")).collect()}
+    assert set(got) == set(want) and len(want) > 20
+    for key, (n, m, v) in want.items():
+        assert got[key][:2] == (n, pytest.approx(m)) and got[key][2] == (None if v is None else pytest.approx(v))
