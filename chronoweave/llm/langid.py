@@ -1,9 +1,9 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors.
 
 Features are hashed three-byte grams of the text with A-Z lower-cased and other ASCII than letters as spaces.
-Document frequencies are counted over all labelled rows that may be learned from. Centroids come from spherical
-k-means, several for each language, on a bounded sample of those rows (`fit_rows`). A text gets the language of the
-centroid with the largest cosine; it is rejected if that cosine lies under what training texts of its length reach.
+Document frequencies, centroids and thresholds come from all labelled rows that may be learned from. Centroids are those
+of spherical k-means, several for each language, each round of which is a pass over the rows. A text gets the language of
+the centroid with the largest cosine; it is rejected if that cosine lies under what training texts of its length reach.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .bytetext import in_slices, text_bytes
 from .common import fresh
 
 DIMS = 8192
+#: A weight of 1 in sums of whole numbers: 2**27 rows fit.
+UNIT = float(1 << 36)
 _RNG = np.random.default_rng(7)
 _TABLES = _RNG.integers(0, DIMS, (3, 256)).astype(np.uint16)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -66,26 +68,90 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return next((n for f, n in rows if f < 0), 0), df
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids by cosine, from seeds that lie far from one another; the rows decide, not chance."""
-    seeds = [int(np.argmax(x @ x.mean(0)))]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin((x @ x[seeds].T).max(1))))
-    c = x[seeds]
+def _sparse(grams: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text and their weights in its unit vector."""
+    n = np.bincount(grams, minlength=DIMS)
+    f = np.flatnonzero(n)
+    x = np.log1p(n[f]) * idf[f]
+    return f, x / np.sqrt(x @ x) if len(f) else x
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    return sums / np.maximum(np.linalg.norm(sums, axis=-1, keepdims=True), 1e-12)
+
+
+def _summed(rows: DataFrame, langs: list, idf: np.ndarray, k: int, axes: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, n) of the unit vectors of rows (t, l) by language and which of its k `axes` is the largest after `shift`.
+
+    Sums are of whole numbers, so they do not depend on the order of the rows."""
+    sent = rows.sparkSession.sparkContext.broadcast((idf, axes, shift))
+
+    def run(batches):
+        idf, axes, shift = sent.value
+        sums, n = np.zeros((len(langs) * k, DIMS), np.int64), np.zeros(len(langs) * k, np.int64)
+        for batch in in_slices(batches, "t"):
+            for g, own in zip(_rows(batch.column("t")), batch.column("l").to_pylist()):
+                f, x = _sparse(g, idf)
+                if len(f):
+                    i = langs.index(own)
+                    j = i * k + int(np.argmax(axes[i][:, f] @ x - shift[i]))
+                    sums[j, f] += np.rint(x * UNIT).astype(np.int64)
+                    n[j] += 1
+        j, f = np.nonzero(sums)
+        keys, values = np.concatenate((j * DIMS + f, -1 - np.arange(len(n)))), np.concatenate((sums[j, f], n))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], ["key", "n"])
+
+    # at most k (DIMS + 1) rows for each language
+    out = rows.select("t", "l").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, value = (out.column(c).to_numpy() for c in ("key", "n"))
+    sums, n = np.zeros(len(langs) * k * DIMS), np.zeros(len(langs) * k)
+    sums[key[key >= 0]], n[-1 - key[key < 0]] = value[key >= 0], value[key < 0]
+    return sums.reshape(len(langs), k, DIMS), n.reshape(len(langs), k)
+
+
+def _kmeans(rows: DataFrame, langs: list, idf: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, n): k unit centroids of each language by cosine, over all rows; n: how many rows each has, 0 if it is none.
+
+    Rows are dealt first by which of k fixed random directions they lean to from their language's mean."""
+    mean, _ = _summed(rows, langs, idf, 1, np.zeros((len(langs), 1, DIMS)), np.zeros((len(langs), 1)))
+    axes = np.broadcast_to(np.random.default_rng(11).choice([-1.0, 1.0], (k, DIMS)), (len(langs), k, DIMS))
+    sums, n = _summed(rows, langs, idf, k, axes, np.einsum("ikf,if->ik", axes, _unit(mean[:, 0])))
     for _ in range(rounds):
-        near = np.argmax(x @ c.T, 1)
-        sums = np.stack([x[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))])
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return c
+        c = _unit(sums)
+        new, m = _summed(rows, langs, idf, k, c, np.where(n > 0, 0.0, np.inf))
+        if (new == sums).all():
+            break
+        sums, n = np.where((m > 0)[:, :, None], new, sums), np.where(n > 0, np.maximum(m, 1), 0)
+    return _unit(sums), n
+
 
+def _floors(rows: DataFrame, langs: list, model: dict) -> np.ndarray:
+    """Least cosine of a row (t, l) with the nearest centroid of its own language, by bits of its number of grams; nan: no rows."""
+    sent = rows.sparkSession.sparkContext.broadcast((model["idf"], [model["centroids"][model["owner"] == i] for i in range(len(langs))]))
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = 2000, centroids: int = 4, slack: float = 0.5) -> dict:
+    def run(batches):
+        idf, own = sent.value
+        low = np.full(64, np.inf)
+        for batch in in_slices(batches, "t"):
+            for g, x in zip(_rows(batch.column("t")), batch.column("l").to_pylist()):
+                f, v = _sparse(g, idf)
+                c = own[langs.index(x)]
+                b = int(np.log2(len(g) + 1))
+                low[b] = min(low[b], float((c[:, f] @ v).max()) if len(c) else 0.0)
+        at = np.flatnonzero(np.isfinite(low))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(low[at])], ["b", "low"])
+
+    low = np.full(64, np.nan)
+    for b, x in rows.select("t", "l").mapInArrow(run, "b long, low double").groupBy("b").agg(F.min("low")).collect():  # 64 rows at most
+        low[b] = x
+    return low
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", centroids: int = 4, rounds: int = 6, slack: float = 0.5) -> dict:
     """Model from labelled rows: {"langs", "owner", "centroids", "idf", "floor"}; None values for lang and text are left out.
 
-    `fit_rows` bounds the rows that the centroids are fitted on, spread over the languages; they are chosen by a hash
-    of id and text. Without labelled rows the model has no languages.
-    """
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h")).where("l is not null and t is not null")
+    Every row counts in every part of it. Without labelled rows the model has no languages."""
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}  # one row for each language
     langs = sorted(counts)
     total, df = document_frequencies(rows, "t")
@@ -93,41 +159,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     model = {"langs": langs, "owner": np.zeros(0, int), "centroids": np.zeros((0, DIMS)), "idf": idf, "floor": np.zeros(64), "slack": slack, "main": max(langs, key=lambda x: (counts[x], x), default=None)}
     if not langs:
         return model
-    each = max(1, fit_rows // len(langs))
-    share = F.lit(0.0)
-    for x in langs:
-        share = F.when(F.col("l") == x, F.lit(min(1.0, each / counts[x]))).otherwise(share)
-
-    def features(batches):
-        for batch in in_slices(batches, "t"):
-            out = [np.unique(g, return_counts=True) for g in _rows(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays([batch.column("l"), pa.array([f.astype(np.uint16).tobytes() for f, _ in out], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in out], pa.binary())], ["l", "f", "n"])
-
-    sample = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("t", "l").mapInArrow(features, "l string, f binary, n binary").collect()
-    x, sizes, owners = np.zeros((len(sample), DIMS), np.float32), np.zeros(len(sample)), np.array([langs.index(r[0]) for r in sample], dtype=int)
-    for i, (_, f, n) in enumerate(sample):
-        n = np.frombuffer(n, np.uint32)
-        x[i, np.frombuffer(f, np.uint16)] = np.log1p(n)
-        sizes[i] = n.sum()
-    x *= idf.astype(np.float32)
-    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
-    order = np.lexsort((x @ np.arange(DIMS, dtype=np.float32), sizes, owners))  # the same order in every run
-    x, sizes, owners = x[order], sizes[order], owners[order]
-    del sample
-    groups = [(j, _kmeans(x[owners == j], centroids)) for j in range(len(langs)) if (owners == j).any()]
-    model["owner"] = np.concatenate([np.full(len(c), j) for j, c in groups]) if groups else np.zeros(0, int)
-    model["centroids"] = np.concatenate([c for _, c in groups]) if groups else np.zeros((0, DIMS))
-    if groups:
-        best = (x @ model["centroids"].T).max(1)
-        low = np.full(64, np.nan)
-        for b in np.unique(np.log2(sizes + 1).astype(int)):
-            low[b] = best[np.log2(sizes + 1).astype(int) == b].min()
-        # a shorter text may be as far as any longer one; unseen lengths take the next shorter one's floor, or none
-        for b in range(64):
-            low[b] = np.nanmin(low[b:]) if np.isfinite(low[b:]).any() else (low[b - 1] if b else 0)
-        seen = np.flatnonzero(np.bincount(np.log2(sizes + 1).astype(int), minlength=64))
-        low[: seen[0]] = 0.0
-        model["floor"] = slack * low
+    c, n = _kmeans(rows, langs, idf, centroids, rounds)
+    model["owner"], model["centroids"] = np.nonzero(n)[0], c[n > 0]
+    low = _floors(rows, langs, model)
+    seen = np.flatnonzero(np.isfinite(low))
+    # a shorter text may be as far as any longer one; unseen lengths take the next shorter one's floor, or none
+    for b in range(64):
+        low[b] = np.nanmin(low[b:]) if np.isfinite(low[b:]).any() else (low[b - 1] if b else 0)
+    low[: seen[0]] = 0.0
+    model["floor"] = slack * low
     return model
 
 
@@ -172,5 +212,5 @@ def held_out(doc_id: str = "doc_id"):
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **how) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row, with a model learned from rows that are not held out."""
-    model = fit(docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)), text, lang, doc_id, **how)
+    model = fit(docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)), text, lang, **how)
     return predict(docs, model, text, (doc_id,)).select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), "lang_pred", "score", "rejected")

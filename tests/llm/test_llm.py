@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,23 @@ def test_language(spark, docs, empty):
     assert r > 0.95
 
 
+def test_language_model_is_of_all_rows(spark):
+    """With one centroid a language it is the unit mean of all its vectors; the threshold is the least cosine of any row."""
+    rows = [(i, " " + " ".join(f"{'wq'[i % 2]}{i * j % 97}z{i}" for j in range(1, 4 + i % 20)) + " ", ["en", "fr"][i % 2]) for i in range(3000)]  # grams reach into the next text of a batch, so spaces around
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), centroids=1)
+    grams = list(langid._rows(pa.array([t for _, t, _ in rows])))
+    total = len(rows)
+    df = np.bincount(np.concatenate([np.unique(g) for g in grams]), minlength=langid.DIMS)
+    idf = np.log((1 + total) / (1 + df)) + 1.0
+    x = np.stack([langid._vector(g, idf) for g in grams])
+    own = np.arange(total) % 2
+    want = np.stack([x[own == j].mean(0) / np.linalg.norm(x[own == j].mean(0)) for j in (0, 1)])
+    assert np.abs(m["centroids"] - want).max() < 1e-8
+    sizes = np.log2([len(g) + 1 for g in grams]).astype(int)
+    cos = np.einsum("ij,ij->i", x, want[own])
+    assert all(m["floor"][b] == pytest.approx(m["slack"] * cos[sizes >= b].min()) for b in set(sizes))
+
+
 def brute_classes(rows):
     sets = {}
     for i, t in rows:
