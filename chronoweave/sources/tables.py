@@ -14,9 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long observations (entity, variable, time, value) from `events`: the largest value of a user, type and day."""
+    """Long observations (entity, variable, time, value) from `events`: the largest value of a user, type and day; a type
+    that VARIABLES lacks has no number."""
     e = read(spark, sf_dir, "events")
-    number = F.array_position(F.array(*map(F.lit, VARIABLES)), F.col("event_type")).cast("int")
+    number = F.nullif(F.array_position(F.array(*map(F.lit, VARIABLES)), F.col("event_type")), F.lit(0)).cast("int")
     day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long")
     return e.groupBy(F.col("user_id").alias("entity"), number.alias("variable"), day.alias("time")).agg(F.max("value").alias("value"))
 

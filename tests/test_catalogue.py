@@ -46,3 +46,16 @@ def test_split_of_ninety_entities_matches_sql(spark, tmp_path, name):
     con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     got, want = catalogue.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(catalogue.oracle_sql()[name]).df()
     assert rows(got) == rows(want)
+
+
+def test_applied_states_of_odd_events_match_sql(spark, tmp_path):
+    """Null values, null types, types that only test entities have, types without a number, and one without any value in the training part."""
+    con = duckdb.connect()
+    kind = "CASE WHEN i % 20 >= 16 AND i % 3 = 0 THEN 'signup' WHEN i % 11 = 0 THEN 'other' WHEN i % 13 = 0 THEN NULL WHEN i % 7 = 0 THEN 'error' ELSE ['click', 'view'][1 + i % 2] END"
+    value = "CASE WHEN i % 5 = 0 OR i % 7 = 0 AND i % 20 < 14 THEN NULL ELSE CAST(i * 37 % 101 AS DOUBLE) END"
+    con.execute(f"CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(i // 20 % 30 AS INTEGER)) AS ts, i % 20 AS user_id, {kind} AS event_type, {value} AS value, '' AS props FROM range(600) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    sql = catalogue.oracle_sql()["apply_states_to_test"]
+    got, want = catalogue.queries()["apply_states_to_test"](spark, str(tmp_path)).toPandas(), con.execute(sql).df()
+    assert len(want) and want["state"].isna().any()
+    assert rows(got) == rows(want)
