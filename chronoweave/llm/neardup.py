@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import in_slices, mix64, word_hashes
-from .common import fresh, row_key, small_batches, stable, stored
+from .common import fresh, maybe_among, row_key, small_batches, stable, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Components of the longer signatures.
@@ -195,7 +195,8 @@ def fine_agreement(a: str, b: str) -> str:
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap by the threshold at least, with their similarity."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    side = lambda x: maybe_among(sets, "node", pairs, x).select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("counts").alias(f"c{x}"))
 
     def run(batches):
         for batch in batches:
@@ -208,7 +209,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 sims[i] = both / (int(ca.sum()) + int(cb.sum()) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], ["a", "b", "similarity"]).filter(pa.array(sims >= threshold - 1e-12))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,6 +229,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_classes(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of the links that gave `roots` and of more `links`: only those between classes are followed."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tops = components(between.where("a != b"))
+    # a node that `roots` lacks has stood for itself
+    old = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stable(old.unionByName(tops.join(roots, "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
@@ -242,16 +253,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     nodes = stable(s.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("_n")))
     # of the rows of a node, which have the same sketch, one; from here on its number names the node
     reps = s.join(nodes.select(F.col("head.row").alias("row")), "row", "left_semi").drop("node").withColumnRenamed("row", "node")
-    entries = reps.select("node", "weight", "low", "high", F.explode("bands").alias("bucket"))
+    entries = reps.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stored(entries.join(shared, "bucket"), "met")
     # nodes that share a bucket, how central they are, and their multisets, from one of the rows with the node's key
-    wanted = stored(met.groupBy("node").agg(F.sum("size").alias("central")).join(reps.select("node", "row_key"), "node"), "wanted")
-    texts = docs.select(row_key(doc_id, text).alias("row_key"), F.col(text).alias("t")).join(wanted.select("row_key", "node"), "row_key")
+    wanted = stored(met.groupBy("node").agg(F.sum("size").alias("central")).join(reps.select("node", "row_key", "weight", "low", "high"), "node"), "wanted")
+    texts = docs.select(row_key(doc_id, text).alias("row_key"), F.col(text).alias("t"))
+    texts = maybe_among(texts, "row_key", wanted).join(wanted.select("row_key", "node"), "row_key")
     sets = stored(multisets(texts.dropDuplicates(["row_key"]), width), "sets")
     least = agreeing_bits(bands * rows, threshold)
     one = lambda: F.struct("central", "node", "weight", "low", "high")
-    buckets = stored(met.drop("size").join(wanted.select("node", "central"), "node").select("bucket", one().alias("p")), "buckets")
+    buckets = stored(met.drop("size").join(wanted.drop("row_key"), "node").select("bucket", one().alias("p")), "buckets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Verified links of nodes p with leaders `lead` that may reach the threshold, by total weight and by one bit of
@@ -274,24 +286,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     again = compared(mixed.where("root != second_root and p.node != first"))
     if again.limit(1).count():
         links = stored(links.unionByName(again).distinct(), "links")
-        roots = components(links)
+        roots = joined_classes(roots, again)
     # pairs in a bucket that no leader has covered and whose classes, by all links so far, still differ
     now = mixed.where("p.node != first and p.node != lead.node").select("bucket", "p.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = now.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("bucket")
     left = stored(now.join(apart, "bucket").select("bucket", "root", *(F.col(n) for n in ("node", "weight", "low", "high"))), "left")
     some = left.select("node").distinct()
-    fine = fine_bits(sets.join(some, "node", "left_semi")).join(reps.select("node", "bands"), "node")
+    fine = fine_bits(maybe_among(sets, "node", some).join(some, "node", "left_semi")).join(reps.select("node", "bands"), "node")
     rest = left.join(stored(fine, "fine"), "node").select("bucket", "root", F.struct("node", "weight", "low", "high", "fine", "bands").alias("p"))
-    y = rest.select(F.col("bucket").alias("bucket_b"), F.col("root").alias("root_b"), F.col("p").alias("b"))
-    near = F.expr("least(p.weight, b.weight) >= " + repr(float(threshold)) + " * greatest(p.weight, b.weight)")
-    alike = F.expr(f"128 - bit_count(p.low ^ b.low) - bit_count(p.high ^ b.high) >= {least}")
-    finely = F.expr(f"{fine_agreement('p.fine', 'b.fine')} >= {fine_least(threshold)}")
-    here = F.expr("bucket = get(filter(p.bands, (x, i) -> x = b.bands[i]), 0)")
-    crossed = rest.join(y, (F.col("bucket") == F.col("bucket_b")) & F.expr("p.node < b.node and root != root_b") & near & alike & finely & here)
-    last = stored(verified(crossed.select(F.col("p.node").alias("a"), F.col("b.node").alias("b")), sets, threshold), "links")
+    # the same rows on both sides, so that they are moved once
+    near = F.expr("least(x.p.weight, y.p.weight) >= " + repr(float(threshold)) + " * greatest(x.p.weight, y.p.weight)")
+    alike = F.expr(f"128 - bit_count(x.p.low ^ y.p.low) - bit_count(x.p.high ^ y.p.high) >= {least}")
+    finely = F.expr(f"{fine_agreement('x.p.fine', 'y.p.fine')} >= {fine_least(threshold)}")
+    here = F.expr("x.bucket = get(filter(x.p.bands, (v, i) -> v = y.p.bands[i]), 0)")
+    crossed = rest.alias("x").join(rest.alias("y"), F.expr("x.bucket = y.bucket and x.p.node < y.p.node and x.root != y.root") & near & alike & finely & here)
+    last = stored(verified(crossed.select(F.col("x.p.node").alias("a"), F.col("y.p.node").alias("b")).repartition("a"), sets, threshold), "links")
     if last.limit(1).count():
         links = stored(links.unionByName(last).distinct(), "links")
-        roots = components(links)
+        roots = joined_classes(roots, last)
 
     named = nodes.withColumn("rep", F.col("head.row")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = named.groupBy("root").agg(F.min("head").alias("top"), F.sum("_n").alias("class_size"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, codec, decontam, hilbert, langid, line_dedup, lm_score, mixing, neardup, pii
+from chronoweave.llm import ann, codec, common, decontam, hilbert, langid, line_dedup, lm_score, mixing, neardup, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row_key string, bucket int, t string"
 WORD, LOW = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -517,3 +517,25 @@ def test_signatures_do_not_depend_on_how_many_points_are_drawn_at_a_time():
     rows = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
     one, many = (neardup.signatures(elements, weights, rows, len(sets), 128, cells=c) for c in (1, 1 << 15))
     assert np.isfinite(one).all() and np.array_equal(one, many)
+
+
+def test_joined_classes(spark, monkeypatch):
+    """Chains over old and new links, and nodes that had no link before, against the classes of all links at once; only
+    links between classes are followed."""
+    rng = np.random.default_rng(3)
+    old, new = ([tuple(sorted(map(int, rng.choice(300, 2, replace=False)))) for _ in range(n)] for n in (120, 60))
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    want, roots = sorted(neardup.components(frame(old + new)).collect()), neardup.components(frame(old))
+    followed, components = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: followed.append(links.count()) or components(links))
+    assert sorted(neardup.joined_classes(roots, frame(new + old[:50])).collect()) == want
+    assert len(followed) == 1 and followed[0] <= len(new)
+
+
+def test_maybe_among_loses_none(spark):
+    """Keys of either kind, nulls and repeats, with few bits: every row that is wanted stays, most others go."""
+    rows = spark.range(40_000).selectExpr("id", "md5(cast(id as string)) as k").union(spark.sql("select cast(null as bigint), cast(null as string)"))
+    few = rows.where("id % 100 = 0")
+    for key in ("id", "k"):
+        got = {r["id"] for r in common.maybe_among(rows, key, few.union(few).select(F.col(key).alias("x")), "x").collect()}
+        assert got >= set(range(0, 40_000, 100)) and len(got) < 1000
