@@ -87,10 +87,23 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 100.0, doc_id: s
             columns = [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(rare, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "rare"])
 
-    target = labels.where((F.col(good) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    coded = d.mapInArrow(to_ids, f"doc_id {dict(d.dtypes)['doc_id']}, n_tokens long, ids binary, rare binary").join(target, "doc_id", "left")
-    coded = stored(coded.select("doc_id", "n_tokens", "ids", "rare", F.coalesce("good", F.lit(False)).alias("good"), F.monotonically_increasing_id().alias("row")), "coded")
-    texts = coded.select("n_tokens", "ids", "rare", "good", "row")
+    target = labels.where((F.col(good) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id")).distinct()
+    coded = d.mapInArrow(to_ids, f"doc_id {dict(d.dtypes)['doc_id']}, n_tokens long, ids binary, rare binary")
+    coded = stored(coded.select("*", F.monotonically_increasing_id().alias("row")), "coded")
+    texts = coded.select("n_tokens", "ids", "rare", "row")
+    # which rows are in the target, a bit for each in words of 64 rows: the coded texts stay where they are
+    bit = F.call_function("shiftleft", F.expr("1L"), F.col("row").bitwiseAND(F.lit(63)).cast("int"))
+    flags = coded.select("doc_id", "row").join(target, "doc_id", "left_semi").groupBy(F.shiftright("row", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    word, bits = _arrays(flags, "word", "bits")
+    order = np.argsort(word)
+    in_target = spark.sparkContext.broadcast((word[order].astype(np.int64), bits[order].astype(np.int64)))
+
+    def are_good(rows: np.ndarray) -> np.ndarray:
+        word, bits = in_target.value
+        if not len(word):
+            return np.zeros(len(rows), bool)
+        at = np.minimum(np.searchsorted(word, rows >> 6), len(word) - 1)
+        return (word[at] == rows >> 6) & (bits[at] >> (rows & 63) & 1).astype(bool)
 
     def tokens(batch, codes: bool = False) -> tuple[np.ndarray, ...]:
         """(w, c, q, owner, good): each token's id (rare: -1, or its code), the one before and the one after it, which
@@ -103,7 +116,7 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 100.0, doc_id: s
         first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(w) else np.zeros(0, bool)
         c, q = np.roll(w, 1), np.roll(w, -1)
         c[first], q[np.roll(first, -1)] = v - 1, v
-        return w, c, q, owner, np.array(batch.column("good").to_pylist(), bool)[owner]
+        return w, c, q, owner, are_good(batch.column("row").to_numpy())[owner]
 
     def margins(batches):
         """Counts of the words with ids as contexts and as words, in all and in the target; at -1 those of all tokens."""

@@ -539,3 +539,13 @@ def test_maybe_among_loses_none(spark):
     for key in ("id", "k"):
         got = {r["id"] for r in common.maybe_among(rows, key, few.union(few).select(F.col(key).alias("x")), "x").collect()}
         assert got >= set(range(0, 40_000, 100)) and len(got) < 1000
+
+
+def test_coded_texts_do_not_move_to_their_labels(spark, docs, monkeypatch):
+    """What is coded is written where it was read; null ids and repeated rows keep their labels."""
+    plans, stored = {}, lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().toString()) and stored(df, name))
+    labels = spark.createDataFrame([(i, 1) for i in (None, 3, 5, 5, 99)], "doc_id long, quality int")
+    got = lm_score.score(spark.createDataFrame(docs.collect(), SCHEMA), labels).collect()
+    assert "Join" not in plans["coded"] and "Exchange" not in plans["coded"]
+    assert len(got) == docs.count()
